@@ -1,12 +1,13 @@
 """Removal of repeated passages, by Rabin-Karp hashes of every window of words.
 
 Each block of documents hashes all its windows with one rolling sum, keeps the first window of each hash (later ones
-repeat it, wherever else it occurs) and sends the firsts to buckets by hash: eight bytes a window, with document and
-place packed beside. A bucket counts the hashes it got from all blocks; all but the earliest window of a hash repeat.
+repeat it, wherever else it occurs) and sends the firsts to buckets by the hash's upper bits: seven bytes a window for
+the lower ones, with document and place packed beside in little more than one. A bucket counts the hashes it got from all blocks; all but the earliest window of a hash repeat.
 Repeated windows go back to their documents, where they merge into maximal intervals of words to remove. A passage that
 a third of all documents share thus reaches its bucket once per block, not once per document.
 
-Hashes have 64 bits and are taken as the windows' identity: with n windows about n * n / 2**65 pairs collide by chance.
+The bucket and the lower 56 bits are taken as a window's identity, about 62 bits for a hundred buckets: with n windows
+some n * n / 2**63 pairs collide by chance.
 
 Defined results: a null text has no words and is kept as the empty text; a text shorter than a window is never cut;
 windows order by doc_id (null first), then place; rows that repeat a doc_id are ordered by place in their own text and,
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +30,9 @@ from chunkloom.llm.common import Block, blocks, gather_spans, partitions_of, per
 
 WINDOW = 20
 NO_ID = -(1 << 63)
-_SENT = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary())])
-_SENT_SQL = "bucket int, hashes binary, ids binary, sizes binary, places binary"
-_BACK = pa.schema([("home", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary())])
+_SENT = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary()), ("places", pa.binary())])
+_SENT_SQL = "bucket int, hashes binary, ids binary, places binary"
+_BACK = pa.schema([("home", pa.int32()), ("ids", pa.binary()), ("places", pa.binary())])
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,13 +49,36 @@ def home_of(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 def _packed(ids: np.ndarray, places: np.ndarray) -> list[bytes]:
-    """Document ids once per run, run lengths, and places."""
+    """Document ids once per run and run lengths (compressed), and the steps between places: a byte each, wide ones apart."""
     at, size = _runs(ids)
-    return [ids[at].astype(np.int64).tobytes(), size.astype(np.uint32).tobytes(), places.astype(np.uint32).tobytes()]
+    step = np.diff(places, prepend=0)
+    step[at] = places[at]
+    wide = (step < 0) | (step >= 255)
+    head = zstandard.ZstdCompressor(level=1).compress(np.diff(ids[at], prepend=0).astype(np.int64).tobytes() + size.astype(np.uint32).tobytes())
+    return [head, np.where(wide, 255, step).astype(np.uint8).tobytes() + step[wide].astype(np.int32).tobytes() + np.uint32(len(step)).tobytes()]
 
 
-def _unpacked(ids: bytes, sizes: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.uint32)), np.frombuffer(places, np.uint32).astype(np.int64)
+def _unpacked(head: bytes, steps: bytes) -> tuple[np.ndarray, np.ndarray]:
+    head = zstandard.ZstdDecompressor().decompress(head)
+    runs = len(head) // 12
+    ids, size = np.cumsum(np.frombuffer(head, np.int64, runs)), np.frombuffer(head, np.uint32, runs, 8 * runs).astype(np.int64)
+    n = int(np.frombuffer(steps, np.uint32, 1, len(steps) - 4)[0])
+    step = np.frombuffer(steps, np.uint8, n).astype(np.int64)
+    step[step == 255] = np.frombuffer(steps[n:-4], np.int32)
+    total = np.cumsum(step)
+    at = np.cumsum(size) - size
+    return np.repeat(ids, size), total - np.repeat(total[at] - step[at], size)
+
+
+def _seven(hashes: np.ndarray) -> bytes:
+    """The low 56 bits of each hash; its bucket stands for more."""
+    return hashes.view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def _from_seven(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
+    return out.view(np.uint64).reshape(-1)
 
 
 def _later(hashes: np.ndarray, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -86,7 +111,7 @@ def _windows(b: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def repeated_windows(docs: DataFrame, k: int, buckets: int, homes: int) -> DataFrame:
-    """home, ids, sizes, places: the windows that an earlier one repeats, packed for the groups of documents they belong to."""
+    """home, ids, places: the windows that an earlier one repeats, packed for the groups of documents they belong to."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, max_bytes=4_000_000):
@@ -94,14 +119,14 @@ def repeated_windows(docs: DataFrame, k: int, buckets: int, homes: int) -> DataF
             order = np.lexsort((places, ids)) if np.any(ids[1:] < ids[:-1]) else np.arange(len(ids))
             hashes, ids, places = hashes[order], ids[order], places[order]
             later = _later(hashes, ids, places)
-            group = (hashes >> np.uint64(32)).astype(np.int64) % buckets
+            group = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             by = np.argsort(group.astype(np.uint16) if buckets <= 65536 else group, kind="stable")
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             at, size = _runs(group[by])
             for lo, n in zip(at, size, strict=True):
                 mine = by[lo : lo + n]
                 send_on, known = mine[~later[mine]], mine[later[mine]]
-                for column, value in zip(out, [int(group[mine[0]]), hashes[send_on].tobytes(), *_packed(ids[send_on], places[send_on])], strict=True):
+                for column, value in zip(out, [int(group[mine[0]]), _seven(hashes[send_on]), *_packed(ids[send_on], places[send_on])], strict=True):
                     column.append(value)
                 if len(known):
                     for column, value in zip(out, [int(group[mine[0]]), None, *_packed(ids[known], places[known])], strict=True):
@@ -109,10 +134,10 @@ def repeated_windows(docs: DataFrame, k: int, buckets: int, homes: int) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SENT, strict=True)], schema=_SENT)
 
     def count(rows: pa.Table) -> pa.Table:
-        parts = [(h, *_unpacked(*x)) for h, *x in zip(*(rows.column(c).to_pylist() for c in ("hashes", "ids", "sizes", "places")), strict=True)]
+        parts = [(h, *_unpacked(*x)) for h, *x in zip(*(rows.column(c).to_pylist() for c in ("hashes", "ids", "places")), strict=True)]
         sent = [x for x in parts if x[0] is not None]
         cat = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-        hashes = cat([np.frombuffer(x[0], np.uint64) for x in sent], np.uint64)
+        hashes = cat([_from_seven(x[0]) for x in sent], np.uint64)
         ids, places = cat([x[1] for x in sent], np.int64), cat([x[2] for x in sent], np.int64)
         later = _later(hashes, ids, places)
         ids = cat([ids[later], *(x[1] for x in parts if x[0] is None)], np.int64)
@@ -125,7 +150,7 @@ def repeated_windows(docs: DataFrame, k: int, buckets: int, homes: int) -> DataF
         return pa.Table.from_arrays([pa.array([m[i] for m in made], f.type) for i, f in enumerate(_BACK)], schema=_BACK)
 
     sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(send, _SENT_SQL)
-    return sent.groupBy("bucket").applyInArrow(count, "home int, ids binary, sizes binary, places binary")
+    return sent.groupBy("bucket").applyInArrow(count, "home int, ids binary, places binary")
 
 
 def cut(b: Block, ids: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -159,7 +184,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, digest_only: bool = False)
     """
     spark = docs.sparkSession
     n = 4 * partitions_of(spark)
-    found = staged(repeated_windows(docs, k, n, n), "repeats")
+    found = staged(repeated_windows(docs, k, n // 2, n), "repeats")
     release(spark)
     names = ["doc_id"] if digest_only else [c for c in docs.columns if c not in ("text", "n_words", "n_removed")]
     schema = docs.select(*names)
@@ -167,7 +192,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, digest_only: bool = False)
     kinds = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256" if digest_only else "text", pa.string())]
 
     def finish(mine: pa.Table, gone: pa.Table) -> Iterator[pa.RecordBatch]:
-        parts = [_unpacked(*x) for x in zip(*(gone.column(c).to_pylist() for c in ("ids", "sizes", "places")), strict=True)]
+        parts = [_unpacked(*x) for x in zip(*(gone.column(c).to_pylist() for c in ("ids", "places")), strict=True)]
         ids, places = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(2))
         order = np.lexsort((places, ids))
         ids, places = ids[order], places[order]
