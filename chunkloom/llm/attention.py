@@ -161,8 +161,8 @@ def layout(classes: np.ndarray, first: np.ndarray, start: int) -> tuple[np.ndarr
     return slots, wants, np.stack([places, owner])
 
 
-def log_probabilities(p: dict[str, np.ndarray], slots: np.ndarray, wants: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Natural logs of the probabilities of the windows' targets, and the window of each."""
+def log_probabilities(p: dict[str, np.ndarray], slots: np.ndarray, wants: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Natural logs of the class probabilities of the windows' targets, in their order."""
     ids = slots[places[:, None] + np.arange(SPAN)]
     want = wants[places[:, None] + np.arange(CONTEXT, SPAN)]
     h = _attend(p, ids, STRIDE)[0]
@@ -177,4 +177,4 @@ def log_probabilities(p: dict[str, np.ndarray], slots: np.ndarray, wants: np.nda
         at = order[lo:hi]
         z = rows[at] @ p["C"][g] + p["c"][g]
         out[at] += z[np.arange(hi - lo), member[at]] - np.log(np.exp(np.minimum(z, 80)).sum(1))
-    return out, np.nonzero(keep)[0]
+    return out

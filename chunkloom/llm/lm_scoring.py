@@ -6,7 +6,9 @@
    words back, so that a word costs one entry per block and not one per document.
 3. A causal self-attention model of subword ids is trained: every training document gives a window at a place chosen by
    a hash; tasks train on their own blocks from common weights, and the weights are averaged after each round.
-4. Overlapping windows score every subword of every text once; the base score adds smoothed word frequencies.
+4. Overlapping windows score every subword of every text once. A word's probability blends that of its subwords with its
+   discounted count in the training documents (the probabilities of all words still add up to one at most). The base
+   score adds smoothed word frequencies alone.
 
 Only averaged weights (of fixed size) and counts by subword id (at most the tokenizer's vocabulary) reach the driver.
 
@@ -31,7 +33,9 @@ from chunkloom.llm.common import Block, blocks, crc_bucket, gather_spans, lowere
 from chunkloom.llm.subwords import Subwords
 
 END = 50256
-ROUNDS, BATCH, LEAST_STEPS = 3, 32, 40
+ROUNDS, BATCH, LEAST_STEPS, RATE = 3, 32, 100, 0.03
+#: Share of the word counts in a word's probability, and what absolute discounting takes from each count.
+BLEND, DISCOUNT = 0.5, 0.75
 AVERAGES = 32
 #: The hash that stands for the end token among words.
 END_HASH = 0
@@ -59,7 +63,7 @@ def encoded(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             data[gather_spans(size, off[:-1] + 1)] = low.data[gather_spans(size, w.starts[where])]
             ids, first = coder.ids(Block(None, data, off)) if len(size) else (np.zeros(0, np.uint32), np.zeros(1, np.int64))
             ids_here = b.rows.column(0).to_pylist()
-            raw = (in_training(ids_here), w.counts.astype(np.uint32), word_of.astype(np.uint32), keys, ids.astype(np.uint32), np.diff(first).astype(np.uint16))
+            raw = (in_training(ids_here), w.counts.astype(np.uint32), word_of.astype(np.uint32), keys, ids.astype(np.uint32), np.diff(first).astype(np.uint32))
             yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([ids_here], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in raw)], names=[x.split()[0] for x in _BLOCK_SQL.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _BLOCK_SQL)
@@ -74,7 +78,7 @@ class Coded:
         self.train = of("train", np.uint8).astype(bool)
         self.first = np.append(0, np.cumsum(of("n_words", np.uint32).astype(np.int64)))
         self.word_of, self.hashes = of("word_of", np.uint32).astype(np.int64), of("hashes", np.uint64)
-        self.subwords, self.sizes = of("subwords", np.uint32).astype(np.int64), of("sizes", np.uint16).astype(np.int64)
+        self.subwords, self.sizes = of("subwords", np.uint32).astype(np.int64), of("sizes", np.uint32).astype(np.int64)
 
     def train_counts(self) -> np.ndarray:
         keep = np.repeat(self.train, np.diff(self.first))
@@ -190,7 +194,7 @@ def train(coded: DataFrame, vocabulary: A.Vocabulary, rounds: int = ROUNDS) -> d
     def local(start: dict[str, np.ndarray], part: int) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine = {k: w.copy() for k, w in start.items()}
-            adam, seen, held, wait = A.Adam(mine, 0.01 / (1 + part)), 0, [], 0
+            adam, seen, held, wait = A.Adam(mine, RATE / (1 + part)), 0, [], 0
 
             def learn(ids: np.ndarray, wants: np.ndarray) -> None:
                 for at in range(0, len(ids), BATCH):
@@ -225,6 +229,15 @@ def train(coded: DataFrame, vocabulary: A.Vocabulary, rounds: int = ROUNDS) -> d
     return p
 
 
+def blended(spelled: np.ndarray, count: np.ndarray, n: int, v: int) -> np.ndarray:
+    """Natural log of a word's probability: discounted counts for one part, and for the rest (with what the discount freed) its subwords."""
+    if n == 0:
+        return spelled
+    with np.errstate(divide="ignore"):
+        counted = np.log(BLEND * np.maximum(count - DISCOUNT, 0) / n)
+    return np.logaddexp(counted, np.log(1 - BLEND + BLEND * min(1.0, DISCOUNT * v / n)) + spelled)
+
+
 def score(coded: DataFrame, totals: DataFrame, vocabulary: A.Vocabulary, p: dict[str, np.ndarray], n: int, v: int, buckets: int) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -244,12 +257,13 @@ def score(coded: DataFrame, totals: DataFrame, vocabulary: A.Vocabulary, p: dict
             base = sums + log[-1]
             seen = per_doc(c.first, count[c.word_of] > 0) + int(count[-1] > 0)
             ids, first = c.sequences()
-            classes = vocabulary.of[ids]
-            slots, wants, (places, owner) = A.layout(classes, first, vocabulary.of[END])
-            total = np.add.reduceat(vocabulary.share[ids], first[:-1]) if docs else np.zeros(0)
-            for at in range(0, len(places), 1024):
-                logs, window = A.log_probabilities(p, slots, wants, places[at : at + 1024])
-                total += np.bincount(owner[at : at + 1024][window], logs, docs)
+            slots, wants, (places, _) = A.layout(vocabulary.of[ids], first, vocabulary.of[END])
+            logs = np.concatenate([A.log_probabilities(p, slots, wants, places[at : at + 1024]) for at in range(0, len(places), 1024)]) + vocabulary.share[ids]
+            size = np.insert(c.sizes[c.word_of], c.first[1:], 1)
+            spelled = np.add.reduceat(logs, np.cumsum(size) - size)
+            whole = np.insert(count[c.word_of], c.first[1:], count[-1])
+            both = blended(spelled, whole, n, v)
+            total = np.add.reduceat(both, c.first[:-1] + np.arange(docs))
             made.append(pa.RecordBatch.from_arrays([pa.array(c.doc_ids, pa.int64()), pa.array(np.diff(c.first) + 1), pa.array(seen), pa.array(base), pa.array(total / np.log(10))], schema=schema))
         return pa.Table.from_batches(made, schema=schema)
 
