@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chunkloom.llm import oracles
+from chunkloom.llm.language_id import op7_language_id
 from chunkloom.llm.lm_scoring import op8_lm_scoring
 from chunkloom.llm.mixing import op3_mixing
 from chunkloom.llm.packing import op5_packing
@@ -19,7 +20,7 @@ from chunkloom.llm.topk_search import op10_topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_quality_rules, op2_quality_classifier, op3_mixing, op4_token_counts, op5_packing, op6_simhash, op8_lm_scoring, op9_substring_dedup, op10_topk_search)
+    made = (op1_quality_rules, op2_quality_classifier, op3_mixing, op4_token_counts, op5_packing, op6_simhash, op7_language_id, op8_lm_scoring, op9_substring_dedup, op10_topk_search)
     return {f.__name__: f for f in made}
 
 
