@@ -188,11 +188,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` without the rows whose component has an earlier document; of rows with one id and text, one stays."""
-    groups = near_duplicates(docs, radius)
-    lead = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lead")).distinct()
-    kept = docs.join(lead, F.col("doc_id").cast("long").eqNullSafe(F.col("_lead")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """``docs`` with only the document of the smallest id of each component; equal rows are one; rows without id stay."""
+    groups = near_duplicates(docs.where("doc_id is not null"), radius)
+    lead = groups.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(lead.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "doc_id", "left_semi").dropDuplicates()
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -180,7 +181,7 @@ def cut(b: Block, ids: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarr
 def remove_repeats(docs: DataFrame, k: int = WINDOW, digest_only: bool = False) -> DataFrame:
     """``docs`` with n_words, n_removed and either the kept text in the place of text, or only its SHA-256.
 
-    With ``digest_only`` the columns are doc_id, n_words, n_removed and kept_sha256.
+    A text of which nothing is removed stays as it is, white space included; others become words joined by a space. With ``digest_only`` the columns are doc_id, n_words, n_removed and kept_sha256.
     """
     spark = docs.sparkSession
     n = 4 * partitions_of(spark)
@@ -198,7 +199,11 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, digest_only: bool = False)
         ids, places = ids[order], places[order]
         for b in blocks(iter(mine.combine_chunks().to_batches())):
             counts, removed, kept = cut(b, ids, places, k)
-            last = pa.array([hashlib.sha256(x).hexdigest() for x in kept]) if digest_only else pa.array(kept, pa.binary()).cast(pa.string())
+            if digest_only:
+                last = pa.array([hashlib.sha256(x).hexdigest() for x in kept])
+            else:
+                same = b.rows.column(b.rows.schema.get_field_index("text")).cast(pa.string())
+                last = pc.if_else(pa.array(removed == 0), same, pa.array(kept, pa.binary()).cast(pa.string()))
             own = [b.rows.column(b.rows.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*own, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), last], names=[*names, *(x for x, _ in kinds)])
 
