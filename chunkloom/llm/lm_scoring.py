@@ -171,7 +171,7 @@ def _windows(c: Coded, vocabulary: A.Vocabulary, part: int, parts: int) -> tuple
     place = at[:, None] + np.arange(A.SPAN)
     inside = place < first[1:, None]
     wants = np.where(inside, classes[np.minimum(place, len(classes) - 1)], A.PAD)
-    before = np.where(place == first[:-1, None], vocabulary.of[END], classes[np.maximum(place - 1, 0)])
+    before = np.where(place == first[:-1, None], vocabulary.of[END], classes[np.clip(place - 1, 0, len(classes) - 1)])
     return np.where(place <= first[1:, None], before, A.PAD), wants
 
 
