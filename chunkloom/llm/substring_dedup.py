@@ -27,9 +27,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import Block, blocks, gather_spans, partitions_of, per_doc, read, release, span_hashes, staged, window_hashes, window_places, words
+from chunkloom.llm.common import Block, blocks, gather_spans, per_doc, read, release, span_hashes, staged, window_hashes, window_places, words
 
 WINDOW = 20
+#: Text whose windows make one bucket, and text that one task cuts.
+BUCKET_BYTES, HOME_BYTES = 8_000_000, 16_000_000
 NO_ID = -(1 << 63)
 _SENT = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary()), ("places", pa.binary())])
 _SENT_SQL = "bucket int, hashes binary, ids binary, places binary"
@@ -184,8 +186,9 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, digest_only: bool = False)
     A text of which nothing is removed stays as it is, white space included; others become words joined by a space. With ``digest_only`` the columns are doc_id, n_words, n_removed and kept_sha256.
     """
     spark = docs.sparkSession
-    n = 4 * partitions_of(spark)
-    found = staged(repeated_windows(docs, k, n // 2, n), "repeats")
+    size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    n = max(1, -(-size // HOME_BYTES))
+    found = staged(repeated_windows(docs, k, max(1, -(-size // BUCKET_BYTES)), n), "repeats")
     release(spark)
     names = ["doc_id"] if digest_only else [c for c in docs.columns if c not in ("text", "n_words", "n_removed")]
     schema = docs.select(*names)
