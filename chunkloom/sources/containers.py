@@ -87,7 +87,7 @@ def hub_file(files: DataFrame, repo: str, filename: str, revision: str | None =
     here = files.where(F.col("path").contains(f"/{folder}/"))
     inside = F.regexp_extract("path", r"/snapshots/([^/]+)/(.+)$", 1).alias("snapshot"), F.regexp_extract("path", r"/snapshots/([^/]+)/(.+)$", 2).alias("file")
     found = here.select("path", "modified", *inside).where(F.col("file") == filename)
-    ref = here.where(F.col("path").endswith(f"/{folder}/refs/{revision or 'main'}")).select(F.trim(F.col("content").cast("string")).alias("snapshot")).withColumn("order", F.lit(1))
+    ref = here.where(F.col("path").endswith(f"/{folder}/refs/{revision or 'main'}")).select(F.regexp_replace(F.col("content").cast("string"), r"^\s+|\s+$", "").alias("snapshot")).withColumn("order", F.lit(1))
     wanted = found.join(ref, "snapshot", "left").withColumn("order", F.when(F.col("snapshot") == (revision or "main"), 0).otherwise(F.coalesce("order", F.lit(2))))
     wanted = wanted.where("order < 2") if revision else wanted
     return wanted.orderBy("order", F.desc("modified"), "path").limit(1).select("path", "snapshot")

@@ -15,11 +15,12 @@ _BAD = "_corrupt"
 
 
 def _json(spark: SparkSession, path: str, schema: T.StructType, pattern: str, mode: str) -> DataFrame:
-    reader = spark.read.option("multiLine", True).option("mode", mode).option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+    """One record per file, with its path; in PERMISSIVE mode what cannot be parsed is in the column _BAD."""
     if mode == "PERMISSIVE":
-        reader = reader.option("columnNameOfCorruptRecord", _BAD)
         schema = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
-    return reader.schema(schema).json(path).withColumn("path", F.col("_metadata.file_path"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    record = F.from_json(F.col("content").cast("string"), schema, {"mode": mode, "columnNameOfCorruptRecord": _BAD})
+    return files.select("path", record.alias("r")).select("r.*", "path")
 
 
 def scan_tolerant(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
