@@ -165,4 +165,12 @@ SQL: dict[str, str] = {
         b.unique_logical_bytes - a.unique_logical_bytes as actual_physical_bytes_delta, b.dedup_savings_bytes - a.dedup_savings_bytes as net_physical_savings_bytes_delta from {_dedup('karts', 'kept_chunks')} a, {_dedup('arts', 'chunks')} b""",
     "page_revisions": "select page_id, case when page_id % 3 = 0 then 'rev' || page_id end as revision from pages",
     "benchmark_fixed": f"{_D}, {', '.join(c for _, c in _BENCH)} select *, {_pct('shared_bytes', 'right_bytes')} as reuse_pct from ({' union all '.join(q for q, _ in _BENCH)})",
+    "materialize_bodies": f"{_D} select artifact_id, artifact_id as digest, logical_size as bytes, true as ok from arts",
+    "materialize_verify": f"""{_D} select artifact_id, case when bool_or(object like '00%') then 'missing object' when bool_or(object like '01%') then 'corrupt object' end as error from arts left join chunks using (artifact_id) group by 1""",
+    "lineage_insert": f"{_with(_EDGES)} select child as child_id, parent as parent_id, 'prune' as operation from edges where child::BIGINT % 3 <> 0",
+    "pointer_advice": f"""{_D} select artifact_id || '.mvptr' as pointer, greatest((select count(*) from arts) - 20, 0) as more from arts order by 1 limit 20""",
+    "path_predicates": """with p as (select page_id, url, sha256(url) as id, page_id % 2 = 1 as odd from pages)
+        select page_id, 'objects/' || substr(id, 1, 2) || '/' || substr(id, 3) as path, case when odd then id end as key_id, true as hex, odd as name_ok, url like 'http://%' as insecure from p""",
+    "delta_reconstruct": f"""{_D}, w as (select * from chunks where size = 256)
+        select distinct c.object, true as ok, 256::BIGINT as size from w c join w p on p.artifact_id = c.artifact_id and p.chunk_ix = c.chunk_ix - 1 where c.chunk_ix % 2 = 1 and c.object <> p.object""",
 }

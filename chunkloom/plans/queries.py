@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.functions import cdc
+from chunkloom.functions import cdc, codec
 from chunkloom.functions.hashing import blake3_hex
-from chunkloom.functions.ranges import chunk_bodies
-from chunkloom.functions.scalars import snapshot_revision
+from chunkloom.functions.ranges import chunk_bodies, ranges
+from chunkloom.functions.scalars import canonical_key_id, insecure_endpoint, is_object_id, object_path, remote_name_ok, snapshot_revision
 from chunkloom.model import Policy, pct, total
 from chunkloom.operators import compare, delta, ingest, lineage, materialize, packs, reports, sync, validate
 from chunkloom.plans import adapters as A
@@ -296,6 +297,50 @@ def benchmark_fixed(spark, d):
     return out.groupBy("chunk_size").agg(total("shared_bytes").alias("shared_bytes"), total("right_bytes").alias("right_bytes")).withColumn("reuse_pct", pct(F.col("shared_bytes"), F.col("right_bytes")))
 
 
+@query
+def materialize_bodies(spark, d):
+    """Every document put together again from its chunks, and whether its hash is its id."""
+    bodies = A.doc_bodies(spark, d)
+    chunks = A.doc_chunks(bodies, keep_data=True)
+    objects = chunks.groupBy("object").agg(F.first("data").alias("data"))
+    made = materialize.bodies(A.artifacts(bodies), chunks.drop("data"), objects)
+    return made.select("artifact_id", F.sha2("body", 256).alias("digest"), F.octet_length("body").cast("long").alias("bytes"), "ok")
+
+
+@query
+def materialize_verify(spark, d):
+    """What is wrong with each document in a store that lost some objects and damaged others."""
+    bodies = A.doc_bodies(spark, d)
+    chunks = A.doc_chunks(bodies, keep_data=True)
+    return materialize.verify(A.artifacts(bodies), chunks.drop("data"), A.damaged(chunks))
+
+
+@query
+def lineage_insert(spark, d):
+    """New edges among proposed ones: every third repeats an edge that is there, with blanks around and capital letters."""
+    edges = A.lineage_edges(spark, d)
+    op = F.when(F.col("child_id") % 3 == 0, F.concat(F.lit(" "), "operation", F.lit(" "))).otherwise("prune")
+    return lineage.insert_edges(edges, edges.withColumn("operation", op)).select("child_id", "parent_id", "operation")
+
+
+@query
+def pointer_advice(spark, d):
+    """The first twenty pointers and how many more there are."""
+    from chunkloom.sources.manifests import advice
+
+    return advice(A.doc_ids(spark, d).select(F.concat("artifact_id", F.lit(".mvptr")).alias("pointer")).distinct())
+
+
+@query
+def path_predicates(spark, d):
+    """Checks of keys, names and endpoints made from the pages."""
+    pages = A.read(spark, d, "pages").select("page_id", "url", F.sha2(F.col("url"), 256).alias("id"))
+    odd = F.col("page_id") % 2 == 1
+    key = F.concat(F.lit("store/objects/"), F.substring("id", 1, 2), F.when(odd, F.lit("/")).otherwise(F.lit("-")), F.substring("id", 3, 62))
+    name = F.when(odd, F.concat(F.lit("remote-"), "page_id")).otherwise(F.concat(F.lit("remote "), "page_id"))
+    return pages.select("page_id", object_path(F.col("id")).alias("path"), canonical_key_id(key).alias("key_id"), is_object_id(F.col("id")).alias("hex"), remote_name_ok(name).alias("name_ok"), insecure_endpoint(F.col("url")).alias("insecure"))
+
+
 # The queries below need encodings or hashes that SQL does not have.
 
 
@@ -370,3 +415,41 @@ def pack_round_trip(spark, d):
 
     made = lineage.cut(built)
     return packs.verify_totals(packs.verify(made.select(F.from_json("index", PACK_INDEX).alias("i")).select("i.*"), made.select("pack_file", "body"), "sha256"))
+
+
+@query
+def delta_reconstruct(spark, d):
+    """Every second chunk of a document kept only as a delta on the chunk before it, rebuilt, and whether it has its id."""
+    chunks = A.doc_chunks(A.doc_bodies(spark, d), keep_data=True).where(F.col("size") == A.CHUNK)
+    left = chunks.where("chunk_ix % 2 = 0").select("artifact_id", (F.col("chunk_ix") + 1).alias("chunk_ix"), F.col("object").alias("base"), F.col("data").alias("base_data"))
+
+    @F.pandas_udf("binary")
+    def record(target: pd.Series, base: pd.Series, base_id: pd.Series) -> pd.Series:
+        return pd.Series([codec.encode_delta(bytes(t), bytes(b), i, 1) for t, b, i in zip(target, base, base_id, strict=True)], dtype=object)
+
+    rows = chunks.join(left, ["artifact_id", "chunk_ix"]).where("object <> base").groupBy("object").agg(F.min_by(F.struct("data", "base", "base_data"), "base").alias("x"))
+    records = lineage.cut(rows.select("object", F.col("x.base").alias("base"), F.lit(1).cast("long").alias("depth"), record("x.data", "x.base_data", "x.base").alias("record")))
+    full = chunks.groupBy("object").agg(F.first("data").alias("data"))
+    return delta.reconstruct(full, records, "sha256").select("object", "ok", F.octet_length("data").cast("long").alias("size"))
+
+
+@query
+def recompress_loose(spark, d):
+    """Sizes of all objects before and after a change of the loose encoding."""
+    objects = A.doc_chunks(A.doc_bodies(spark, d), keep_data=True).groupBy("object").agg(F.first("data").alias("stored"))
+    return packs.recompress(objects, "zstd", hash="sha256").select("object", "before", F.octet_length("stored").alias("after"))
+
+
+@query
+def container_round_trip(spark, d):
+    """Conversations written as tensor containers, parsed, and their user turns taken out into containers of their own."""
+    from chunkloom.sources import containers
+
+    parts = A.conv_parts(spark, d)
+    whole = A.conv_tensors(parts).withColumn("selected_ix", F.col("tensor_ix")).withColumn("new_offset", F.col("data_offset"))
+    chunks = A.conv_chunks(parts)
+    objects = parts.select("payload", F.explode(ranges(F.octet_length("payload"), A.TENSOR_CHUNK)).alias("r")).select(F.substring(F.col("payload"), F.col("r.offset").cast("int") + 1, F.col("r.len").cast("int")).alias("data")).withColumn("object", F.sha2("data", 256)).dropDuplicates(["object"])
+    files = materialize.assemble(whole, chunks, objects).select(F.col("artifact_id").alias("source_name"), F.col("file").alias("body"))
+    arts, cuts, tensors, stored = ingest.containers(containers.inspect(lineage.cut(files)), A.CHUNK)
+    users = materialize.assemble(materialize.select_tensors(tensors, prefixes=["user"]), cuts, stored)
+    return users.join(arts, "artifact_id").select("source_name", F.octet_length("file").alias("file_bytes"), F.sha2("file", 256).alias("file_id"))
