@@ -131,7 +131,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     for by in (("host", "domain"), ("domain",), ("suffix",), ("declared",)):
         named = sums(*by)
         joined = joined.join(named, list(by), "left")
-    joined = joined.crossJoin(F.broadcast(sums()))  # one row
+    joined = joined.withColumn("one", F.lit(1)).join(F.broadcast(sums().withColumn("one", F.lit(1))), "one")  # of one row
     col = lambda k, i: F.col(f"{k}_{i}")
     every = _normal([col("all", i) + PSEUDO for i in span])
     less = lambda k: [F.greatest(col(k, i) - F.col("p")[i], F.lit(0.0)) for i in span]
