@@ -519,3 +519,8 @@ def test_queries_of_the_subpackage_are_registered():
     names = entry.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
     assert os.path.exists(entry.__file__)
+
+
+@pytest.mark.parametrize("name", ["op4_token_counts", "op9_substring_dedup", "op10_topk_search"])
+def test_queries_agree_with_their_sql(spark, name):
+    assert spark_table(run(spark, name)) == duck_table(entry.oracle_sql()[name])
