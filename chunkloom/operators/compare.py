@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunkloom.model import pct, saturating_sub, total
+from chunkloom.model import pct, total
 
 
 def sided(pairs: DataFrame, rows: DataFrame, side: str) -> DataFrame:
@@ -112,6 +112,3 @@ def markdown(diff: DataFrame, everything: bool = False) -> DataFrame:
     shown = diff if everything else diff.where("status <> 'unchanged'")
     line = F.concat_ws(" | ", F.lit("|"), "name", "status", F.col("left_bytes").cast("string"), F.col("right_bytes").cast("string"), F.col("shared_bytes").cast("string"), F.lit("|"))
     return shown.orderBy("pair", "name").select("pair", F.trim(line).alias("line"))
-
-
-__all__ = ["aligned", "alignment", "compare_snapshots", "delta_candidates", "diff_totals", "markdown", "pct", "reuse", "saturating_sub", "sequences", "shared_objects", "sided", "tensor_diff"]
