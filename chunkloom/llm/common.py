@@ -8,12 +8,12 @@ A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, which is the pat
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +58,7 @@ def as_block(rows: pa.RecordBatch, column: str = "text") -> Block:
     return Block(rows, raw[off[0] : off[-1]], off - off[0])
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 2_000_000) -> Iterator[Block]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 1_000_000) -> Iterator[Block]:
     """Slices of the batches with about ``max_bytes`` of text each (a longer document is a block of its own)."""
     for rows in batches:
         whole = as_block(rows, column)
@@ -68,6 +68,16 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: i
             lo, hi = whole.off[at], whole.off[to]
             yield Block(rows.slice(at, to - at), whole.data[lo:hi], whole.off[at : to + 1] - lo)
             at = to
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers stay for later tasks, and executors share their memory with them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def lowered(block: Block) -> Block:
@@ -107,20 +117,22 @@ def words(block: Block) -> Words:
     return Words(starts, np.flatnonzero(end) + 1, np.searchsorted(starts, off))
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < size."""
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        x = np.full(size, b, dtype=np.uint64)
-        x[0] = 1
-        out.append(np.multiply.accumulate(x))
-    return out[0], out[1]
+#: Tables of powers up to this length are kept, the longest of each base.
+_KEPT = 1 << 21
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    room = 1 << max(10, int(size - 1).bit_length())
-    p, q = _powers(base, room)
+    """base**i and base**-i modulo 2**64 for i < size."""
+    p, q = _tables.get(base, (np.zeros(0), np.zeros(0)))
+    if len(p) < size:
+        room = 1 << max(10, int(size - 1).bit_length()) if size <= _KEPT else size
+        p, q = (np.full(room, b, dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64)))
+        for x in (p, q):
+            x[0] = 1
+            np.multiply.accumulate(x, out=x)
+        if room <= _KEPT:
+            _tables[base] = p, q
     return p[:size], q[:size]
 
 
@@ -183,10 +195,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a folder of this machine only where the cluster names none (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = os.path.join(tempfile.gettempdir(), "chunkloom")
-        spark.conf.set("spark.checkpoint.dir", at)
+    at = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "chunkloom")
     return at.rstrip("/")
 
 

@@ -117,7 +117,7 @@ def repeated_windows(docs: DataFrame, k: int, buckets: int, homes: int) -> DataF
     """home, ids, places: the windows that an earlier one repeats, packed for the groups of documents they belong to."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, max_bytes=4_000_000):
+        for b in blocks(batches, max_bytes=2_000_000):
             hashes, ids, places = _windows(b, k)
             order = np.lexsort((places, ids)) if np.any(ids[1:] < ids[:-1]) else np.arange(len(ids))
             hashes, ids, places = hashes[order], ids[order], places[order]
