@@ -62,19 +62,26 @@ def _bias(p: dict[str, np.ndarray], queries: int) -> np.ndarray:
 
 
 def _attend(p: dict[str, np.ndarray], ids: np.ndarray, queries: int) -> tuple[np.ndarray, ...]:
-    """States of the last ``queries`` slots of windows of class ids, and what the gradient needs."""
+    """States of the last ``queries`` slots of windows of class ids, and what the gradient needs.
+
+    The weights ``a`` are not divided by their sums ``total``; a column of ones beside the values makes these on the way.
+    """
     x = p["E"][ids]
-    q, k, v = x[:, SPAN - queries :] @ p["Q"], x @ p["K"], x @ p["V"]
+    scale = p["Q"].dtype.type(WIDTH**-0.5)
+    q, k, v = x[:, SPAN - queries :] @ (p["Q"] * scale), x @ p["K"], x @ p["V"]
     a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(WIDTH**-0.5)
     a += _bias(p, queries)
     empty = np.flatnonzero((ids == PAD).any(1))
     if len(empty):
         a[empty] += np.where(ids[empty] == PAD, np.float32(-1e9), np.float32(0))[:, None]
-    np.minimum(a, 50, out=a)
+    most = np.sqrt((q * q).sum(2).max(initial=0) * (k * k).sum(2).max(initial=0)) + p["R"].max()
+    if most > 60:
+        np.minimum(a, 60, out=a)
     np.exp(a, out=a)
-    a /= a.sum(2, keepdims=True) + np.float32(1e-30)
-    return x[:, SPAN - queries :] + a @ v, x, q, k, v, a
+    one = np.concatenate([v, np.ones((*v.shape[:2], 1), v.dtype)], axis=2)
+    out = a @ one
+    total = out[:, :, WIDTH:] + v.dtype.type(1e-30)
+    return x[:, SPAN - queries :] + out[:, :, :WIDTH] / total, x, q, k, v, a, total
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
@@ -84,7 +91,8 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
 
 def step(p: dict[str, np.ndarray], ids: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the targets (PAD: none) that follow each slot of full windows, and its gradient."""
-    h, x, q, k, v, a = _attend(p, ids, SPAN)
+    h, x, q, k, v, a, total = _attend(p, ids, SPAN)
+    a = a / total
     keep = targets != PAD
     rows, want = h[keep], targets[keep]
     n = max(1, len(want))
@@ -116,8 +124,7 @@ def step(p: dict[str, np.ndarray], ids: np.ndarray, targets: np.ndarray) -> tupl
     back = np.arange(SPAN)[:, None] - np.arange(SPAN)
     total = ds.sum(0)
     d["R"] = np.bincount(back[back >= 0], total[back >= 0], SPAN).astype(np.float32)
-    ds *= np.float32(WIDTH**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+    dq, dk = (ds @ k) * np.float32(WIDTH**-0.5), ds.transpose(0, 2, 1) @ q
     flat = lambda z: z.reshape(-1, WIDTH)
     d["Q"], d["K"], d["V"] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
     dx = dh + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T

@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,12 +34,16 @@ from chunkloom.llm.common import Block, blocks, crc_bucket, gather_spans, lowere
 from chunkloom.llm.subwords import Subwords
 
 END = 50256
-ROUNDS, BATCH, LEAST_STEPS, RATE = 3, 32, 100, 0.03
+ROUNDS, BATCH, LEAST_STEPS, RATE = 3, 32, 80, 0.03
+#: Text of one block.
+BLOCK_BYTES = 1_000_000
 #: Share of the word counts in a word's probability, and what absolute discounting takes from each count.
 BLEND, DISCOUNT = 0.5, 0.75
 AVERAGES = 32
 #: The hash that stands for the end token among words.
 END_HASH = 0
+#: The columns of the texts themselves.
+_TEXT = ("train", "n_words", "word_of", "subwords", "sizes")
 _BLOCK_SQL = "block string, doc_ids array<long>, train binary, n_words binary, word_of binary, hashes binary, subwords binary, sizes binary"
 
 
@@ -50,8 +55,8 @@ def encoded(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Blocks of documents, see step 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Subwords(tokenizer)
-        for b in blocks(batches, max_bytes=4_000_000):
+        coder = Subwords.shared(tokenizer)
+        for b in blocks(batches, max_bytes=BLOCK_BYTES):
             low = lowered(b)
             w = words(low)
             hashes = span_hashes(low.data, w.starts, w.ends)
@@ -63,26 +68,38 @@ def encoded(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             data[gather_spans(size, off[:-1] + 1)] = low.data[gather_spans(size, w.starts[where])]
             ids, first = coder.ids(Block(None, data, off)) if len(size) else (np.zeros(0, np.uint32), np.zeros(1, np.int64))
             ids_here = b.rows.column(0).to_pylist()
-            raw = (in_training(ids_here), w.counts.astype(np.uint32), word_of.astype(np.uint32), keys, ids.astype(np.uint32), np.diff(first).astype(np.uint32))
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([ids_here], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in raw)], names=[x.split()[0] for x in _BLOCK_SQL.split(", ")])
+            raw = [squeezed(x) for x in (in_training(ids_here), w.counts, word_of, ids, np.diff(first))]
+            raw.insert(3, keys.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([ids_here], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in raw)], names=[x.split()[0] for x in _BLOCK_SQL.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _BLOCK_SQL)
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """Numbers from 0 in the narrowest type that holds them, compressed; the first byte tells the type's width."""
+    top = int(x.max(initial=0))
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + zstandard.ZstdCompressor(level=1).compress(x.astype(kind).tobytes())
+
+
+def unsqueezed(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), f"<u{raw[0]}").astype(np.int64)
+
+
 class Coded:
-    """A block row as arrays."""
+    """A block row as arrays; columns that a step does not read may be missing. Words are in the order of their hashes."""
 
     def __init__(self, row: dict) -> None:
-        of = lambda name, kind: np.frombuffer(row[name], kind)
-        self.block, self.doc_ids = row["block"], row["doc_ids"]
-        self.train = of("train", np.uint8).astype(bool)
-        self.first = np.append(0, np.cumsum(of("n_words", np.uint32).astype(np.int64)))
-        self.word_of, self.hashes = of("word_of", np.uint32).astype(np.int64), of("hashes", np.uint64)
-        self.subwords, self.sizes = of("subwords", np.uint32).astype(np.int64), of("sizes", np.uint32).astype(np.int64)
+        of = lambda name: unsqueezed(row[name]) if name in row else None
+        self.block, self.doc_ids = row.get("block"), row.get("doc_ids")
+        self.train = of("train").astype(bool)
+        self.first = np.append(0, np.cumsum(of("n_words")))
+        self.word_of, self.subwords, self.sizes = of("word_of"), of("subwords"), of("sizes")
+        self.hashes = np.frombuffer(row["hashes"], np.uint64) if "hashes" in row else None
 
     def train_counts(self) -> np.ndarray:
         keep = np.repeat(self.train, np.diff(self.first))
-        return np.bincount(self.word_of[keep], minlength=len(self.hashes))
+        return np.bincount(self.word_of[keep], minlength=len(self.sizes) if self.hashes is None else len(self.hashes))
 
     def sequences(self, docs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Subword ids of the documents (all, or those numbered), each with its end, and where each begins."""
@@ -112,7 +129,7 @@ def subword_counts(coded: DataFrame, size: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
-    found = coded.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = coded.select(*_TEXT).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size, np.int64)
     out[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return out
@@ -127,11 +144,10 @@ def word_totals(coded: DataFrame, buckets: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in rows_of(batches):
-            hashes = np.append(c.hashes, np.uint64(END_HASH))
-            counts = np.append(c.train_counts(), c.train.sum()).astype(np.uint32)
+            hashes = np.append(np.uint64(END_HASH), c.hashes)
+            counts = np.append(c.train.sum(), c.train_counts()).astype(np.uint32)
             group = bucket_of(hashes, buckets)
-            parts = [np.flatnonzero(group == g) for g in range(buckets)] if buckets < 16 else np.split(np.argsort(group, kind="stable"), np.cumsum(np.bincount(group, minlength=buckets))[:-1])
-            parts = [p for p in parts if len(p)]
+            parts = np.split(np.arange(len(group)), np.flatnonzero(np.diff(group)) + 1)
             yield pa.RecordBatch.from_arrays([
                 pa.array([c.block] * len(parts)), pa.array([int(group[p[0]]) for p in parts], pa.int32()),
                 pa.array([hashes[p].tobytes() for p in parts], pa.binary()), pa.array([zlib.compress(counts[p].tobytes(), 1) for p in parts], pa.binary()),
@@ -150,19 +166,21 @@ def word_totals(coded: DataFrame, buckets: int) -> DataFrame:
             pa.array([*(zlib.compress(x.tobytes(), 1) for x in back), None], pa.binary()), pa.array([0] * n + [int((total > 0).sum())]), pa.array([0] * n + [int(total.sum())]),
         ], schema=schema)
 
-    sent = coded.mapInArrow(send, "block string, bucket int, hashes binary, counts binary")
+    sent = coded.select("block", "train", "n_words", "word_of", "hashes").mapInArrow(send, "block string, bucket int, hashes binary, counts binary")
     return sent.groupBy("bucket").applyInArrow(add, "block string, bucket int, totals binary, v long, n long")
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets in the order of the hashes."""
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _windows(c: Coded, vocabulary: A.Vocabulary, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """One window of each training document of this part: input classes and targets."""
+def _windows(c: Coded, vocabulary: A.Vocabulary, part: int, parts: int, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """One window of each training document of this part, another in each turn: input classes and targets."""
     docs = np.flatnonzero(c.train)
-    draw = np.array([zlib.crc32(f"window {c.doc_ids[d]}".encode()) for d in docs], np.int64)
-    docs, draw = docs[draw % parts == part], draw[draw % parts == part] // parts
+    of = np.array([zlib.crc32(f"part {c.doc_ids[d]}".encode()) for d in docs], np.int64)
+    docs = docs[of % parts == part]
+    draw = np.array([zlib.crc32(f"window {c.doc_ids[d]} {turn}".encode()) for d in docs], np.int64)
     if len(docs) == 0:
         return np.zeros((0, A.SPAN), np.int64), np.zeros((0, A.SPAN), np.int64)
     ids, first = c.sequences(docs)
@@ -194,7 +212,7 @@ def train(coded: DataFrame, vocabulary: A.Vocabulary, rounds: int = ROUNDS) -> d
     def local(start: dict[str, np.ndarray], part: int) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine = {k: w.copy() for k, w in start.items()}
-            adam, seen, held, wait = A.Adam(mine, RATE / (1 + part)), 0, [], 0
+            adam, seen, held, turn = A.Adam(mine, RATE / (1 + part)), 0, [], 0
 
             def learn(ids: np.ndarray, wants: np.ndarray) -> None:
                 for at in range(0, len(ids), BATCH):
@@ -204,12 +222,12 @@ def train(coded: DataFrame, vocabulary: A.Vocabulary, rounds: int = ROUNDS) -> d
                 ids, wants = _windows(c, vocabulary, part, rounds)
                 learn(ids, wants)
                 seen += len(ids)
-                if wait < LEAST_STEPS * BATCH:  # a small task goes over its windows again
-                    held.append((ids, wants))
-                    wait += len(ids)
+                if adam.t < LEAST_STEPS:  # a small task goes over its documents again, with other windows
+                    held.append(c)
             while 0 < seen and adam.t < LEAST_STEPS:
-                for ids, wants in held:
-                    learn(ids, wants)
+                turn += 1
+                for c in held:
+                    learn(*_windows(c, vocabulary, part, rounds, turn))
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([int(zlib.crc32(flat(mine)) % AVERAGES)], pa.int32()), pa.array([float(seen)]), pa.array([flat(mine)], pa.binary())], names=["part", "weight", "weights"])
 
@@ -222,7 +240,7 @@ def train(coded: DataFrame, vocabulary: A.Vocabulary, rounds: int = ROUNDS) -> d
 
     sql = "part int, weight double, weights binary"
     for part in range(rounds):
-        got = coded.mapInArrow(local(p, part), sql).groupBy("part").applyInArrow(average, sql).collect()
+        got = coded.select("doc_ids", *_TEXT).mapInArrow(local(p, part), sql).groupBy("part").applyInArrow(average, sql).collect()
         if got:
             total = sum(r["weight"] * np.frombuffer(r["weights"], np.float32).astype(np.float64) for r in sorted(got, key=lambda r: r["part"]))
             p = shaped(total / sum(r["weight"] for r in got), p)
@@ -246,28 +264,25 @@ def score(coded: DataFrame, totals: DataFrame, vocabulary: A.Vocabulary, p: dict
         made = []
         known = {b: np.frombuffer(zlib.decompress(t), np.uint64).astype(np.int64) for b, t in zip(back.column("bucket").to_pylist(), back.column("totals").to_pylist(), strict=True)}
         for c in rows_of(iter(mine.to_batches())):
-            hashes = np.append(c.hashes, np.uint64(END_HASH))
-            group = bucket_of(hashes, buckets)
-            count = np.zeros(len(hashes), np.int64)
-            order = np.argsort(group, kind="stable")
-            count[order] = np.concatenate([known[b] for b in sorted(known)])
-            log = np.log10((count + 0.1) / (n + 0.1 * (v + 1)))
+            both = np.concatenate([known[b] for b in sorted(known)])  # buckets follow the hashes, and the end's is the least
+            ends, count = both[0], both[1:]
+            log, log_end = (np.log10((x + 0.1) / (n + 0.1 * (v + 1))) for x in (count, ends))
             docs = len(c.doc_ids)
             sums = np.add.reduceat(np.append(log[c.word_of], 0.0), c.first[:-1]) * (np.diff(c.first) > 0)
-            base = sums + log[-1]
-            seen = per_doc(c.first, count[c.word_of] > 0) + int(count[-1] > 0)
+            base = sums + log_end
+            seen = per_doc(c.first, count[c.word_of] > 0) + int(ends > 0)
             ids, first = c.sequences()
             slots, wants, (places, _) = A.layout(vocabulary.of[ids], first, vocabulary.of[END])
             logs = np.concatenate([A.log_probabilities(p, slots, wants, places[at : at + 1024]) for at in range(0, len(places), 1024)]) + vocabulary.share[ids]
             size = np.insert(c.sizes[c.word_of], c.first[1:], 1)
             spelled = np.add.reduceat(logs, np.cumsum(size) - size)
-            whole = np.insert(count[c.word_of], c.first[1:], count[-1])
+            whole = np.insert(count[c.word_of], c.first[1:], ends)
             both = blended(spelled, whole, n, v)
             total = np.add.reduceat(both, c.first[:-1] + np.arange(docs))
             made.append(pa.RecordBatch.from_arrays([pa.array(c.doc_ids, pa.int64()), pa.array(np.diff(c.first) + 1), pa.array(seen), pa.array(base), pa.array(total / np.log(10))], schema=schema))
         return pa.Table.from_batches(made, schema=schema)
 
-    mine = coded.groupBy("block")
+    mine = coded.select("block", "doc_ids", *_TEXT).groupBy("block")
     return mine.cogroup(totals.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
@@ -276,7 +291,7 @@ def score_texts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     buckets = partitions_of(spark)
     coded = staged(encoded(docs, tokenizer), "coded")
-    coder = Subwords(tokenizer)
+    coder = Subwords.shared(tokenizer)
     size = coder.tokenizer.get_vocab_size()
     begins = np.zeros(size, dtype=bool)
     for token, i in coder.tokenizer.get_vocab().items():
