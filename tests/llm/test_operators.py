@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from chunkloom.llm import attention as A
-from chunkloom.llm import components, language_id, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup, subwords, token_counts, topk_search
+from chunkloom.llm import components, language_id, lm_scoring, mixing, near_copies, packing, quality_classifier, quality_rules, simhash, substring_dedup, subwords, token_counts, topk_search
 from chunkloom.llm.common import Block, as_block, blocks, words
 from tests.helpers import SF, duck_table, spark_table
 from tests.llm import brute
@@ -314,6 +314,46 @@ def test_one_of_each_group_stays(spark):
     assert sorted(str(r.doc_id) for r in simhash.keep_one(docs).collect()) == ["0", "2", "3", "None"]
 
 
+def test_near_copies_are_those_of_brute_force(spark, small):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(3)
+    texts = [t for _, t, _ in small] + ["", " ", None, "one two", "One  two"]
+    for n in (12, 40, 100, 300):
+        for changes in (1, 2, 3, 5, 6, 9, 12):
+            plain = [f"{n}q{changes}q{rng.randrange(10**6)}" for _ in range(n)]
+            texts.append(" ".join(plain))
+            for _ in range(4):  # also a chain: each from the one before
+                plain = list(plain)
+                for at in rng.sample(range(n), min(n, changes)):
+                    plain[at] = f"new{rng.randrange(10**6)}"
+                texts.append(" ".join(plain))
+    sets, up = [], list(range(len(texts)))
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    near = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both):
+                near += sets[i] != sets[j]
+                a, b = sorted((top(i), top(j)))
+                up[b] = a
+    want = {i: top(i) for i in range(len(texts))}
+    assert near > 20
+    docs = table(spark, texts)
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()} == want
+    assert {r.doc_id for r in pipeline.near_duplicates(spark, docs, SF).collect()} == set(want.values())
+    assert pipeline.near_duplicates(spark, docs.where("false"), SF).count() == 0
+
+
 # 7 Language
 
 
