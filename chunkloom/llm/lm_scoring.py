@@ -4,8 +4,8 @@
    these words. Blocks are written to the shared folder and serve all later steps.
 2. Words are counted over all training documents: blocks send hashes and counts to buckets and get the totals of their
    words back, so that a word costs one entry per block and not one per document.
-3. A causal self-attention model of subword ids is trained: every training document gives a window at a place chosen by
-   a hash; tasks train on their own blocks from common weights, and the weights are averaged after each round.
+3. A causal self-attention model of subword ids is trained on windows that tile every training document: each subword
+   is a target once; tasks train on their own blocks from common weights, and the weights are averaged after each round.
 4. Overlapping windows score every subword of every text once. A word's probability blends that of its subwords with its
    discounted count in the training documents (the probabilities of all words still add up to one at most). The base
    score adds smoothed word frequencies alone.
@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.llm import attention as A
-from chunkloom.llm.common import Block, blocks, crc_bucket, gather_spans, lowered, partitions_of, per_doc, read, span_hashes, staged, words
+from chunkloom.llm.common import Block, blocks, crc_bucket, gather_spans, lowered, mix, partitions_of, per_doc, read, span_hashes, staged, words
 from chunkloom.llm.subwords import Subwords
 
 END = 50256
-ROUNDS, BATCH, LEAST_STEPS, RATE = 3, 32, 80, 0.03
+ROUNDS, BATCH, RATE = 3, 32, 0.03
 #: Text of one block.
 BLOCK_BYTES = 1_000_000
 #: Share of the word counts in a word's probability, and what absolute discounting takes from each count.
@@ -175,22 +175,24 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _windows(c: Coded, vocabulary: A.Vocabulary, part: int, parts: int, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """One window of each training document of this part, another in each turn: input classes and targets."""
+def _windows(c: Coded, vocabulary: A.Vocabulary, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that tile the training documents of this part, in an order drawn by their ids: input classes and targets."""
     docs = np.flatnonzero(c.train)
     of = np.array([zlib.crc32(f"part {c.doc_ids[d]}".encode()) for d in docs], np.int64)
+    draw = of[of % parts == part]
     docs = docs[of % parts == part]
-    draw = np.array([zlib.crc32(f"window {c.doc_ids[d]} {turn}".encode()) for d in docs], np.int64)
     if len(docs) == 0:
         return np.zeros((0, A.SPAN), np.int64), np.zeros((0, A.SPAN), np.int64)
     ids, first = c.sequences(docs)
-    classes, size = vocabulary.of[ids], np.diff(first)
-    at = first[:-1] + draw % np.maximum(size - A.SPAN + 1, 1)
-    place = at[:, None] + np.arange(A.SPAN)
-    inside = place < first[1:, None]
-    wants = np.where(inside, classes[np.minimum(place, len(classes) - 1)], A.PAD)
-    before = np.where(place == first[:-1, None], vocabulary.of[END], classes[np.clip(place - 1, 0, len(classes) - 1)])
-    return np.where(place <= first[1:, None], before, A.PAD), wants
+    classes, n = vocabulary.of[ids], -(-np.diff(first) // A.SPAN)
+    which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    order = np.argsort(mix(np.repeat(draw, n).astype(np.uint64) << np.uint64(32) | which.astype(np.uint64)), kind="stable")
+    doc, which = np.repeat(np.arange(len(docs)), n)[order], which[order]
+    begin, end = first[doc][:, None], first[doc + 1][:, None]
+    place = begin + A.SPAN * which[:, None] + np.arange(A.SPAN)
+    wants = np.where(place < end, classes[np.minimum(place, len(classes) - 1)], A.PAD)
+    before = np.where(place == begin, vocabulary.of[END], classes[np.clip(place - 1, 0, len(classes) - 1)])
+    return np.where(place <= end, before, A.PAD), wants
 
 
 def flat(p: dict[str, np.ndarray]) -> bytes:
@@ -212,7 +214,7 @@ def train(coded: DataFrame, vocabulary: A.Vocabulary, rounds: int = ROUNDS) -> d
     def local(start: dict[str, np.ndarray], part: int) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine = {k: w.copy() for k, w in start.items()}
-            adam, seen, held, turn = A.Adam(mine, RATE / (1 + part)), 0, [], 0
+            adam, seen = A.Adam(mine, RATE / (1 + part)), 0
 
             def learn(ids: np.ndarray, wants: np.ndarray) -> None:
                 for at in range(0, len(ids), BATCH):
@@ -222,12 +224,6 @@ def train(coded: DataFrame, vocabulary: A.Vocabulary, rounds: int = ROUNDS) -> d
                 ids, wants = _windows(c, vocabulary, part, rounds)
                 learn(ids, wants)
                 seen += len(ids)
-                if adam.t < LEAST_STEPS:  # a small task goes over its documents again, with other windows
-                    held.append(c)
-            while 0 < seen and adam.t < LEAST_STEPS:
-                turn += 1
-                for c in held:
-                    learn(*_windows(c, vocabulary, part, rounds, turn))
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([int(zlib.crc32(flat(mine)) % AVERAGES)], pa.int32()), pa.array([float(seen)]), pa.array([flat(mine)], pa.binary())], names=["part", "weight", "weights"])
 

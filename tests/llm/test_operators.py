@@ -463,6 +463,20 @@ def test_lm_scores(spark, small, awkward):
     assert lm_scoring.score_texts(awkward.where("false")).count() == 0
 
 
+def test_training_windows_tile_every_document(spark, small):
+    docs = [(d, t) for d, t, _ in small[:40]] + [(10**6, LONG), (10**6 + 1, ""), (10**6 + 3, "one")]
+    vocabulary = A.Vocabulary.make(np.ones(50257, np.int64), np.zeros(50257, dtype=bool))
+    for row in lm_scoring.encoded(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        c = lm_scoring.Coded(row.asDict())
+        made = [lm_scoring._windows(c, vocabulary, part, lm_scoring.ROUNDS) for part in range(lm_scoring.ROUNDS)]
+        slots, wants = (np.concatenate([m[i] for m in made]) for i in range(2))
+        keep = np.flatnonzero(c.train)
+        ids, first = c.sequences(keep)
+        want = [np.insert(vocabulary.of[ids[a:z]], 0, vocabulary.of[lm_scoring.END]) for a, z in zip(first[:-1], first[1:], strict=True)]
+        assert sorted(zip(slots[wants != A.PAD], wants[wants != A.PAD], strict=True)) == sorted((x, y) for w in want for x, y in zip(w[:-1], w[1:], strict=True))
+        assert len(wants) == sum(-(-(len(w) - 1) // A.SPAN) for w in want)
+
+
 # 9 Substrings
 
 
