@@ -477,6 +477,27 @@ def test_training_windows_tile_every_document(spark, small):
         assert len(wants) == sum(-(-(len(w) - 1) // A.SPAN) for w in want)
 
 
+def test_small_tasks_see_each_target_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(90))), (3, "one two")], "doc_id long, text string").coalesce(1)
+    batches = pa.Table.from_pylist([r.asDict() for r in lm_scoring.encoded(docs).collect()]).to_batches()
+    vocabulary = A.Vocabulary.make(np.ones(50257, np.int64), np.zeros(50257, dtype=bool))
+    seen, plain = [], A.step
+    monkeypatch.setattr(A, "step", lambda p, ids, wants: (seen.append(int((wants != A.PAD).sum())), plain(p, ids, wants))[1])
+
+    class Here:  # runs a round in this process
+        select = groupBy = applyInArrow = lambda self, *_: self
+
+        def mapInArrow(self, run, _):
+            list(run(iter(batches)))
+            return self
+
+        def collect(self):
+            return []
+
+    lm_scoring.train(Here(), vocabulary)
+    assert 0 < sum(seen) == sum(len(c.sequences(np.flatnonzero(c.train))[0]) for c in lm_scoring.rows_of(iter(batches)))
+
+
 # 9 Substrings
 
 
