@@ -10,9 +10,9 @@ The bucket and the lower 56 bits are taken as a window's identity, about 62 bits
 some n * n / 2**63 pairs collide by chance.
 
 Defined results: a null text has no words and is kept as the empty text; a text shorter than a window is never cut;
-windows order by doc_id (null first), then place; rows that repeat a doc_id are ordered by place in their own text and,
-where that ties, by a hash of the text: equal rows with one id are both kept or both cut; an empty table gives no rows;
-other columns are carried along.
+windows order by doc_id (null first), then place; rows that repeat a doc_id (or have none) are documents of their own, in
+the order of a hash of the text, then of the text: of equal rows the later ones repeat the first; an empty table gives
+no rows; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -159,7 +159,7 @@ def repeated_windows(docs: DataFrame, k: int, buckets: int, homes: int) -> DataF
 def cut(b: Block, ids: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Word counts, removed words and the kept text (words joined by a space) of each document. ids and places are sorted."""
     w = words(b)
-    own = b.rows.column(b.rows.schema.get_field_index("doc_id")).fill_null(NO_ID).to_numpy()
+    own = b.rows.column(b.rows.schema.get_field_index("_key")).fill_null(NO_ID).to_numpy()
     lo, hi = np.searchsorted(ids, own), np.searchsorted(ids, own, side="right")
     doc = np.repeat(np.arange(len(own)), hi - lo)
     at = places[gather_spans(hi - lo, lo)]
@@ -180,6 +180,14 @@ def cut(b: Block, ids: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarr
     return w.counts, removed, [raw[a : max(a, z - 1)] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row: doc_id where each id is one row's, else numbers in the order of the rows."""
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.withColumn("_key", F.col("doc_id").cast("long"))
+    ordered = docs.orderBy(F.col("doc_id").cast("long").asc_nulls_first(), F.xxhash64("text"), "text")
+    return staged(ordered.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+
+
 def remove_repeats(docs: DataFrame, k: int = WINDOW, digest_only: bool = False) -> DataFrame:
     """``docs`` with n_words, n_removed and either the kept text in the place of text, or only its SHA-256.
 
@@ -188,9 +196,10 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, digest_only: bool = False)
     spark = docs.sparkSession
     size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     n = max(1, -(-size // HOME_BYTES))
-    found = staged(repeated_windows(docs, k, max(1, -(-size // BUCKET_BYTES)), n), "repeats")
-    release(spark)
     names = ["doc_id"] if digest_only else [c for c in docs.columns if c not in ("text", "n_words", "n_removed")]
+    docs = keyed(docs.select(*names, "text"))
+    found = staged(repeated_windows(docs.select(F.col("_key").alias("doc_id"), "text"), k, max(1, -(-size // BUCKET_BYTES)), n), "repeats")
+    release(spark)
     schema = docs.select(*names)
     sql = ", ".join([*(f"`{c}` {t}" for c, t in schema.dtypes), "n_words long, n_removed long", "kept_sha256 string" if digest_only else "text string"])
     kinds = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256" if digest_only else "text", pa.string())]
@@ -217,8 +226,8 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, digest_only: bool = False)
         fields = [mine.schema.field(c) for c in names] if mine.num_columns else []
         return pa.Table.from_batches([], schema=pa.schema([*fields, *kinds]))
 
-    home = F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.lit(n).cast("long")).cast("int")
-    left = docs.select(*names, "text").withColumn("_home", home).groupBy("_home")
+    home = F.pmod(F.coalesce("_key", F.lit(NO_ID)), F.lit(n).cast("long")).cast("int")
+    left = docs.select(*names, "_key", "text").withColumn("_home", home).groupBy("_home")
     return left.cogroup(found.groupBy("home")).applyInArrow(run, sql)
 
 

@@ -521,6 +521,18 @@ def test_random_texts_lose_the_same_words(spark, seed, monkeypatch):
     assert by_id(substring_dedup.remove_repeats(docs, 5, digest_only=True)) == brute.substring_dedup(list(zip(ids, texts, strict=True)), 5)
 
 
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    said = " ".join(f"said{i}" for i in range(30))
+    one, other = (" ".join(f"{name}{i}" for i in range(60)) for name in ("one", "other"))
+    rows = [(i, t) for i in (None, 7) for t in (one if i else other, f"{said} clean {i}")] + [(7, f"{said} clean 7"), (7, f"{said} tail"), (9, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or 0, r.text, r.n_removed) for r in substring_dedup.remove_repeats(docs).collect())
+    assert {x for x in got if x[0] == 0} == {(0, other, 0), (0, f"{said} clean None", 0)}
+    assert {x for x in got if x[0] == 7 and "one0" in x[1]} == {(7, one, 0)}
+    assert sorted(x[1:] for x in got if x[0] == 7 and x[1] != one) == [("", 32), ("7", 31), ("tail", 30)]
+    assert [x for x in got if x[0] == 9] == [(9, "", 60)]
+
+
 def test_packed_places_round_trip():
     rng = np.random.default_rng(0)
     ids = np.sort(rng.integers(-(2**60), 2**60, 50)).repeat(rng.integers(1, 30, 50))
