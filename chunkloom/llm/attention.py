@@ -1,8 +1,10 @@
 """A small causal self-attention model of subword ids in numpy: one layer, trained by Adam, scored in windows.
 
 Ids fall into classes (the frequent ones have their own) and classes into groups. The next id's probability is that of
-its group and of its class within the group, both from the attention layer's state, times the id's share of its class
-in the training counts. Sums of probabilities over all ids are one.
+its group and of its class within the group, times the id's share of its class in the training counts; sums of
+probabilities over all ids are one. The logits begin as the log probabilities of a class after another, counted over all
+training text and not trained further; the layer learns what the rest of the window adds to them. Its input at a slot is
+the embedding of the slot's class and, weighted, that of the class before; every slot attends to all slots up to it.
 """
 
 from __future__ import annotations
@@ -11,139 +13,162 @@ from dataclasses import dataclass
 
 import numpy as np
 
-GROUPS, MEMBERS, WIDTH = 16, 32, 16
+GROUPS, MEMBERS, WIDTH = 32, 32, 16
 #: A window scores STRIDE ids and sees CONTEXT more before them.
 STRIDE, CONTEXT = 32, 16
 SPAN = STRIDE + CONTEXT
-PAD = GROUPS * MEMBERS
-SMOOTH = 0.1
+CLASSES = PAD = GROUPS * MEMBERS
+#: Pseudo-counts of an id, and of the overall shares among the counts after a class.
+SMOOTH, BACK_OFF = 0.1, 3.0
+_BACK = np.arange(SPAN)[:, None] - np.arange(SPAN)
 
 
 @dataclass
 class Vocabulary:
-    """The class of each id, and the log of its share of the class."""
+    """The class of each id, the log of its share of the class, and the log probabilities of groups and classes after each class."""
 
     of: np.ndarray
     share: np.ndarray
-    counts: np.ndarray
+    total: np.ndarray
+    group_after: np.ndarray
+    class_after: np.ndarray
 
     @classmethod
     def make(cls, counts: np.ndarray, begins: np.ndarray) -> Vocabulary:
         """``begins``: which ids begin a word; these and the others use separate groups."""
         of = np.zeros(len(counts), np.int64)
-        half = GROUPS * MEMBERS // 2
+        half = CLASSES // 2
         rare = GROUPS
         for side, mask in enumerate((begins, ~begins)):
             order = np.flatnonzero(mask)[np.argsort(-counts[mask], kind="stable")]
             rank = np.arange(len(order))
             place = np.where(rank < half - rare, rank, half - rare + rank % rare)
             of[order] = side * half + (place % (GROUPS // 2)) * MEMBERS + place // (GROUPS // 2)
-        smooth = counts + SMOOTH
-        total = np.bincount(of, smooth, GROUPS * MEMBERS)
-        return cls(of, np.log(smooth / total[of]), np.maximum(total, SMOOTH))
+        total = np.maximum(np.bincount(of, counts + SMOOTH, CLASSES), SMOOTH)
+        out = cls(of, np.log((counts + SMOOTH) / total[of]), total, *(np.zeros(0),) * 2)
+        out.learn(np.zeros((CLASSES, CLASSES)))
+        return out
 
+    def learn(self, pairs: np.ndarray) -> None:
+        """Take ``pairs``, how often a class follows another (columns after rows); PAD is followed by the overall shares."""
+        share = self.total / self.total.sum()
+        p = (pairs + BACK_OFF * share) / (pairs.sum(1, keepdims=True) + BACK_OFF)
+        p = np.vstack([p, share]).reshape(CLASSES + 1, GROUPS, MEMBERS)
+        group = p.sum(2)
+        self.group_after, self.class_after = np.log(group).astype(np.float32), np.log(p / group[:, :, None]).astype(np.float32)
 
-def initial(vocabulary: Vocabulary, seed: int = 7) -> dict[str, np.ndarray]:
-    """Weights from which the model predicts each class by its count."""
+
+def initial(seed: int = 7) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     draw = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
-    by = vocabulary.counts.reshape(GROUPS, MEMBERS)
     return {
-        "E": draw(PAD + 1, WIDTH, scale=0.5), "Q": draw(WIDTH, WIDTH, scale=0.2), "K": draw(WIDTH, WIDTH, scale=0.2), "V": draw(WIDTH, WIDTH, scale=0.2),
-        "R": np.zeros(SPAN, np.float32), "G": draw(WIDTH, GROUPS, scale=0.02), "g": np.log(by.sum(1) / by.sum()).astype(np.float32),
-        "C": draw(GROUPS, WIDTH, MEMBERS, scale=0.02), "c": np.log(by / by.sum(1, keepdims=True)).astype(np.float32),
+        "E": draw(PAD + 1, WIDTH, scale=0.5), "F": np.full(WIDTH, 0.5, np.float32), "A": draw(WIDTH, WIDTH, scale=0.02), "V": draw(WIDTH, WIDTH, scale=0.2),
+        "R": np.zeros(SPAN, np.float32), "G": draw(WIDTH, GROUPS, scale=0.02), "C": draw(GROUPS, WIDTH, MEMBERS, scale=0.02),
     }
 
 
-def _bias(p: dict[str, np.ndarray], queries: int) -> np.ndarray:
-    """The position bias of the last ``queries`` slots of a window on all its slots; later slots are masked."""
-    back = np.arange(SPAN - queries, SPAN)[:, None] - np.arange(SPAN)
-    return np.where(back >= 0, p["R"][np.maximum(back, 0)], np.float32(-1e9))
-
-
 def _attend(p: dict[str, np.ndarray], ids: np.ndarray, queries: int) -> tuple[np.ndarray, ...]:
     """States of the last ``queries`` slots of windows of class ids, and what the gradient needs.
 
-    The weights ``a`` are not divided by their sums ``total``; a column of ones beside the values makes these on the way.
+    The weights ``a`` are not divided by their sums ``total``.
     """
     x = p["E"][ids]
-    scale = p["Q"].dtype.type(WIDTH**-0.5)
-    q, k, v = x[:, SPAN - queries :] @ (p["Q"] * scale), x @ p["K"], x @ p["V"]
-    a = q @ k.transpose(0, 2, 1)
-    a += _bias(p, queries)
+    x[:, 1:] += p["E"][ids[:, :-1]] * p["F"]
+    q = x[:, SPAN - queries :] @ p["A"]
+    a = q @ x.transpose(0, 2, 1)
+    back = _BACK[SPAN - queries :]
+    a += np.where(back >= 0, p["R"][np.maximum(back, 0)], a.dtype.type(-1e9))
     empty = np.flatnonzero((ids == PAD).any(1))
     if len(empty):
-        a[empty] += np.where(ids[empty] == PAD, np.float32(-1e9), np.float32(0))[:, None]
-    most = np.sqrt((q * q).sum(2).max(initial=0) * (k * k).sum(2).max(initial=0)) + p["R"].max()
-    if most > 60:
-        np.minimum(a, 60, out=a)
+        a[empty] += np.where(ids[empty] == PAD, a.dtype.type(-1e9), a.dtype.type(0))[:, None]
+    np.minimum(a, 40, out=a)
     np.exp(a, out=a)
-    one = np.concatenate([v, np.ones((*v.shape[:2], 1), v.dtype)], axis=2)
-    out = a @ one
-    total = out[:, :, WIDTH:] + v.dtype.type(1e-30)
-    return x[:, SPAN - queries :] + out[:, :, :WIDTH] / total, x, q, k, v, a, total
+    total = a.sum(2, keepdims=True)
+    total += a.dtype.type(1e-30)
+    seen = a @ x
+    seen /= total
+    return x[:, SPAN - queries :] + seen @ p["V"], x, q, a, total, seen
+
+
+def _outcome(p: dict[str, np.ndarray], v: Vocabulary, rows: np.ndarray, before: np.ndarray, want: np.ndarray) -> tuple:
+    """Log probabilities of the classes ``want`` (in the order of their groups) after states and classes, and what the gradient needs."""
+    group = want // MEMBERS
+    z = rows @ p["G"]
+    z += v.group_after[before]
+    y = v.class_after[before, group].astype(z.dtype)
+    ends = np.cumsum(np.bincount(group, minlength=GROUPS))
+    spans = [(g, lo, hi) for g, (lo, hi) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if hi > lo]
+    for g, lo, hi in spans:
+        y[lo:hi] += rows[lo:hi] @ p["C"][g]
+    at = np.arange(len(want))
+    logs = z[at, group] + y[at, want % MEMBERS]
+    for s in (z, y):
+        np.minimum(s, 60, out=s)
+        np.exp(s, out=s)
+    zs, ys = z.sum(1), y.sum(1)
+    return logs - np.log(zs) - np.log(ys), z, y, zs, ys, spans
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+def _by_group(want: np.ndarray) -> np.ndarray:
+    """Places of the targets that are not PAD, in the order of their groups."""
+    keep = np.flatnonzero(want != PAD)
+    return keep[np.argsort((want[keep] // MEMBERS).astype(np.uint8), kind="stable")]
 
 
-def step(p: dict[str, np.ndarray], ids: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+def step(p: dict[str, np.ndarray], v: Vocabulary, ids: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the targets (PAD: none) that follow each slot of full windows, and its gradient."""
-    h, x, q, k, v, a, total = _attend(p, ids, SPAN)
-    a = a / total
-    keep = targets != PAD
-    rows, want = h[keep], targets[keep]
+    h, x, q, a, total, seen = _attend(p, ids, SPAN)
+    flat = lambda z: z.reshape(-1, WIDTH)
+    keep = _by_group(targets.reshape(-1))
+    want, rows = targets.reshape(-1)[keep], flat(h)[keep]
     n = max(1, len(want))
-    group, member = want // MEMBERS, want % MEMBERS
-    d = {name: np.zeros_like(w) for name, w in p.items()}
-    logs = _log_softmax(rows @ p["G"] + p["g"])
-    loss = -float(logs[np.arange(len(want)), group].sum())
-    dz = np.exp(logs)
-    dz[np.arange(len(want)), group] -= 1
-    dz /= n
-    d["G"], d["g"] = rows.T @ dz, dz.sum(0)
-    dr = dz @ p["G"].T
-    for g in range(GROUPS):
-        at = np.flatnonzero(group == g)
-        if len(at) == 0:
-            continue
-        logs = _log_softmax(rows[at] @ p["C"][g] + p["c"][g])
-        loss -= float(logs[np.arange(len(at)), member[at]].sum())
-        dz = np.exp(logs)
-        dz[np.arange(len(at)), member[at]] -= 1
-        dz /= n
-        d["C"][g], d["c"][g] = rows[at].T @ dz, dz.sum(0)
-        dr[at] += dz @ p["C"][g].T
-    dh = np.zeros_like(h)
+    logs, z, y, zs, ys, spans = _outcome(p, v, rows, ids.reshape(-1)[keep], want)
+    at = np.arange(len(want))
+    z /= zs[:, None]
+    y /= ys[:, None]
+    z[at, want // MEMBERS] -= 1
+    y[at, want % MEMBERS] -= 1
+    z /= n
+    y /= n
+    d = {"G": rows.T @ z, "C": np.zeros_like(p["C"])}
+    dr = z @ p["G"].T
+    for g, lo, hi in spans:
+        d["C"][g] = rows[lo:hi].T @ y[lo:hi]
+        dr[lo:hi] += y[lo:hi] @ p["C"][g].T
+    dh = np.zeros((ids.size, WIDTH), h.dtype)
     dh[keep] = dr
-    dv = a.transpose(0, 2, 1) @ dh
-    da = dh @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    back = np.arange(SPAN)[:, None] - np.arange(SPAN)
-    total = ds.sum(0)
-    d["R"] = np.bincount(back[back >= 0], total[back >= 0], SPAN).astype(np.float32)
-    dq, dk = (ds @ k) * np.float32(WIDTH**-0.5), ds.transpose(0, 2, 1) @ q
-    flat = lambda z: z.reshape(-1, WIDTH)
-    d["Q"], d["K"], d["V"] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-    dx = dh + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
-    np.add.at(d["E"], ids.reshape(-1), flat(dx))
-    d["E"][PAD] = 0
-    return loss / n, d
+    d["V"] = flat(seen).T @ dh
+    ds = (dh @ p["V"].T).reshape(h.shape)
+    ds /= total
+    da = ds @ x.transpose(0, 2, 1)
+    da -= (ds * seen).sum(2, keepdims=True)
+    da *= a
+    by = da.sum(0)
+    d["R"] = np.bincount(_BACK[_BACK >= 0], by[_BACK >= 0], SPAN).astype(h.dtype)
+    dq = da @ x
+    dx = a.transpose(0, 2, 1) @ ds
+    dx += da.transpose(0, 2, 1) @ q
+    dx += dh.reshape(h.shape)
+    dx += (flat(dq) @ p["A"].T).reshape(h.shape)
+    d["A"] = flat(x).T @ flat(dq)
+    d["F"] = (dx[:, 1:] * p["E"][ids[:, :-1]]).sum((0, 1))
+    dx[:, :-1] += dx[:, 1:] * p["F"]
+    d["E"] = np.stack([np.bincount(ids.reshape(-1), flat(dx)[:, k], PAD + 1) for k in range(WIDTH)], axis=1).astype(h.dtype)
+    return -float(logs.sum()) / n, d
 
 
 class Adam:
-    def __init__(self, p: dict[str, np.ndarray], rate: float = 0.01) -> None:
+    def __init__(self, p: dict[str, np.ndarray], rate: float = 0.02) -> None:
         self.p, self.rate, self.t = p, rate, 0
         self.m, self.s = ({k: np.zeros_like(w) for k, w in p.items()} for _ in range(2))
 
     def update(self, grad: dict[str, np.ndarray]) -> None:
         self.t += 1
         for k, g in grad.items():
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.s[k] += 0.01 * (g * g - self.s[k])
-            self.p[k] -= (self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.s[k] / (1 - 0.99**self.t)) + 1e-6)).astype(np.float32)
+            self.m[k] += np.float32(0.1) * (g - self.m[k])
+            self.s[k] += np.float32(0.01) * (g * g - self.s[k])
+            size = np.sqrt(self.s[k] * np.float32(1 / (1 - 0.99**self.t))) + np.float32(1e-6)
+            self.p[k] -= np.float32(self.rate / (1 - 0.9**self.t)) * self.m[k] / size
 
 
 def layout(classes: np.ndarray, first: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,20 +193,12 @@ def layout(classes: np.ndarray, first: np.ndarray, start: int) -> tuple[np.ndarr
     return slots, wants, np.stack([places, owner])
 
 
-def log_probabilities(p: dict[str, np.ndarray], slots: np.ndarray, wants: np.ndarray, places: np.ndarray) -> np.ndarray:
+def log_probabilities(p: dict[str, np.ndarray], v: Vocabulary, slots: np.ndarray, wants: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Natural logs of the class probabilities of the windows' targets, in their order."""
     ids = slots[places[:, None] + np.arange(SPAN)]
-    want = wants[places[:, None] + np.arange(CONTEXT, SPAN)]
+    want = wants[places[:, None] + np.arange(CONTEXT, SPAN)].reshape(-1)
     h = _attend(p, ids, STRIDE)[0]
-    keep = want != PAD
-    rows, want = h[keep], want[keep]
-    z = rows @ p["G"] + p["g"]
-    group, member = want // MEMBERS, want % MEMBERS
-    out = z[np.arange(len(want)), group] - np.log(np.exp(np.minimum(z, 80)).sum(1))
-    order = np.argsort(group.astype(np.uint8), kind="stable")
-    ends = np.cumsum(np.bincount(group, minlength=GROUPS))
-    for g, (lo, hi) in enumerate(zip(np.append(0, ends[:-1]), ends, strict=True)):
-        at = order[lo:hi]
-        z = rows[at] @ p["C"][g] + p["c"][g]
-        out[at] += z[np.arange(hi - lo), member[at]] - np.log(np.exp(np.minimum(z, 80)).sum(1))
-    return out
+    order = _by_group(want)
+    out = np.zeros(len(want))
+    out[order] = _outcome(p, v, h.reshape(-1, WIDTH)[order], ids[:, CONTEXT:].reshape(-1)[order], want[order])[0]
+    return out[want != PAD]

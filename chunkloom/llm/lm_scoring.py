@@ -4,13 +4,14 @@
    these words. Blocks are written to the shared folder and serve all later steps.
 2. Words are counted over all training documents: blocks send hashes and counts to buckets and get the totals of their
    words back, so that a word costs one entry per block and not one per document.
-3. A causal self-attention model of subword ids is trained on windows that tile every training document: each subword
-   is a target once; tasks train on their own blocks from common weights, and the weights are averaged after each round.
-4. Overlapping windows score every subword of every text once. A word's probability blends that of its subwords with its
-   discounted count in the training documents (the probabilities of all words still add up to one at most). The base
-   score adds smoothed word frequencies alone.
+3. A causal self-attention model of subword ids (``attention``) is trained on windows that tile every training document:
+   each subword is a target once. Documents are dealt to rounds and units by a hash of their own, not by where they are
+   stored; a round trains each of its units from common weights and averages the results in the order of the units.
+4. Overlapping windows score every subword of every text once; a text's score is their sum, the model's alone. The base
+   score adds smoothed word frequencies. ``blended_score`` mixes each word's probability with its discounted count.
 
-Only averaged weights (of fixed size) and counts by subword id (at most the tokenizer's vocabulary) reach the driver.
+Only averaged weights (of fixed size), counts by subword id (at most the tokenizer's vocabulary) and counts of pairs of
+classes (at most ``attention.CLASSES`` squared) reach the driver.
 
 Defined results: a null or blank text is its end token alone; rows without doc_id are scored and not trained on;
 repeated rows count each time; without training documents all base counts are 0 and the model is uniform by class size;
@@ -30,16 +31,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.llm import attention as A
-from chunkloom.llm.common import Block, blocks, crc_bucket, gather_spans, lowered, mix, partitions_of, per_doc, read, span_hashes, staged, words
+from chunkloom.llm.common import Block, blocks, crc_bucket, gather_spans, lowered, mix, per_doc, read, span_hashes, staged, words
 from chunkloom.llm.subwords import Subwords
 
 END = 50256
-ROUNDS, BATCH, RATE = 3, 32, 0.03
-#: Text of one block.
-BLOCK_BYTES = 1_000_000
-#: Share of the word counts in a word's probability, and what absolute discounting takes from each count.
+ROUNDS, BATCH, RATE = 3, 48, 0.02
+#: Subwords of one training unit, about.
+UNIT = 400_000
+#: Text of one block, and text whose words make one bucket of counts.
+BLOCK_BYTES, BUCKET_BYTES = 1_000_000, 16_000_000
+#: For the blended score: share of the word counts in a word's probability, and what absolute discounting takes from each count.
 BLEND, DISCOUNT = 0.5, 0.75
-AVERAGES = 32
+#: Weights that are averaged at once.
+FAN = 32
 #: The hash that stands for the end token among words.
 END_HASH = 0
 #: The columns of the texts themselves.
@@ -175,24 +179,76 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _windows(c: Coded, vocabulary: A.Vocabulary, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows that tile the training documents of this part, in an order drawn by their ids: input classes and targets."""
-    docs = np.flatnonzero(c.train)
-    of = np.array([zlib.crc32(f"part {c.doc_ids[d]}".encode()) for d in docs], np.int64)
-    draw = of[of % parts == part]
-    docs = docs[of % parts == part]
-    if len(docs) == 0:
-        return np.zeros((0, A.SPAN), np.int64), np.zeros((0, A.SPAN), np.int64)
-    ids, first = c.sequences(docs)
-    classes, n = vocabulary.of[ids], -(-np.diff(first) // A.SPAN)
-    which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    order = np.argsort(mix(np.repeat(draw, n).astype(np.uint64) << np.uint64(32) | which.astype(np.uint64)), kind="stable")
-    doc, which = np.repeat(np.arange(len(docs)), n)[order], which[order]
-    begin, end = first[doc][:, None], first[doc + 1][:, None]
-    place = begin + A.SPAN * which[:, None] + np.arange(A.SPAN)
-    wants = np.where(place < end, classes[np.minimum(place, len(classes) - 1)], A.PAD)
-    before = np.where(place == begin, vocabulary.of[END], classes[np.clip(place - 1, 0, len(classes) - 1)])
-    return np.where(place <= end, before, A.PAD), wants
+def units(coded: DataFrame, vocabulary: A.Vocabulary, n: int) -> DataFrame:
+    """unit, keys, sizes, classes: the class ids of the training documents, dealt to n units by a hash of id and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in rows_of(batches):
+            docs = np.flatnonzero(c.train)
+            if len(docs) == 0:
+                continue
+            ids, first = c.sequences(docs)
+            classes, size = vocabulary.of[ids], np.diff(first)
+            place = np.arange(len(ids)) - np.repeat(first[:-1], size)
+            named = np.array([zlib.crc32(str(c.doc_ids[d]).encode()) for d in docs], np.uint64) << np.uint64(32)
+            key = mix(named + np.add.reduceat(mix((place << 20 | classes).astype(np.uint64)), first[:-1]))
+            order = np.argsort(key, kind="stable")
+            new = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) > 0]))
+            key[order] += (np.arange(len(key)) - np.repeat(new, np.diff(np.append(new, len(key))))).astype(np.uint64)  # equal rows part
+            unit = (mix(key) % np.uint64(n)).astype(np.int64)
+            order = np.argsort(unit, kind="stable")
+            ends = np.flatnonzero(np.diff(unit[order], append=-1)) + 1
+            for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                mine = order[lo:hi]
+                raw = [squeezed(key[mine]), squeezed(size[mine]), squeezed(classes[gather_spans(size[mine], first[mine])])]
+                yield pa.RecordBatch.from_arrays([pa.array([int(unit[mine[0]])]), *(pa.array([x], pa.binary()) for x in raw)], names=["unit", "keys", "sizes", "classes"])
+
+    return coded.select("doc_ids", *_TEXT).mapInArrow(run, "unit long, keys binary, sizes binary, classes binary")
+
+
+def pair_counts(dealt: DataFrame, start: int) -> np.ndarray:
+    """How often each class follows each other one in the units' documents, which begin after ``start``."""
+    k = A.CLASSES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, waiting, size = np.zeros(k * k, np.int64), [], 0
+        for rows in batches:
+            for sizes, classes in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                of, n = unsqueezed(classes), unsqueezed(sizes)
+                before = np.append(0, of[:-1])
+                before[np.cumsum(n) - n] = start
+                waiting.append(before * k + of)
+                size += len(of)
+                if size > k * k:
+                    total += np.bincount(np.concatenate(waiting), minlength=k * k)
+                    waiting, size = [], 0
+        total += np.bincount(np.concatenate([*waiting, np.zeros(0, np.int64)]), minlength=k * k)
+        at = np.flatnonzero(total)
+        for lo in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[lo : lo + 100_000].astype(np.int32)), pa.array(total[at[lo : lo + 100_000]])], names=["pair", "n"])
+
+    found = dealt.select("sizes", "classes").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(k * k)
+    out[found["pair"].to_numpy()] = found["n"].to_numpy(np.float64)
+    return out.reshape(k, k)
+
+
+def tiles(rows: pa.Table, start: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches of the windows that tile a unit's documents, in an order drawn by their keys: input classes and targets."""
+    parts = [[unsqueezed(x) for x in rows.column(c).to_pylist()] for c in ("keys", "sizes", "classes")]
+    keys, sizes, classes = (np.concatenate(x) for x in parts)
+    first = np.append(0, np.cumsum(sizes))
+    n = -(-sizes // A.SPAN)
+    doc = np.repeat(np.arange(len(sizes)), n)
+    which = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    order = np.lexsort((which, mix(mix(keys.astype(np.uint64))[doc] + which.astype(np.uint64))))
+    for at in range(0, len(order), BATCH):
+        mine = order[at : at + BATCH]
+        begin, end = first[doc[mine]][:, None], first[doc[mine] + 1][:, None]
+        place = begin + A.SPAN * which[mine][:, None] + np.arange(A.SPAN)
+        wants = np.where(place < end, classes[np.minimum(place, len(classes) - 1)], A.PAD)
+        before = np.where(place == begin, start, classes[np.clip(place - 1, 0, len(classes) - 1)])
+        yield np.where(place < end, before, A.PAD), wants
 
 
 def flat(p: dict[str, np.ndarray]) -> bytes:
@@ -207,42 +263,42 @@ def shaped(raw: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray
     return out
 
 
-def train(coded: DataFrame, vocabulary: A.Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Average of the tasks' weights after each round, weighted by their windows."""
-    p = A.initial(vocabulary)
-
-    def local(start: dict[str, np.ndarray], part: int) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            mine = {k: w.copy() for k, w in start.items()}
-            adam, seen = A.Adam(mine, RATE / (1 + part)), 0
-
-            def learn(ids: np.ndarray, wants: np.ndarray) -> None:
-                for at in range(0, len(ids), BATCH):
-                    adam.update(A.step(mine, ids[at : at + BATCH], wants[at : at + BATCH])[1])
+def train(dealt: DataFrame, vocabulary: A.Vocabulary, per_round: int, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Average of the units' weights after each round, weighted by their windows; round r has the units r * per_round and on."""
+    p = A.initial()
+    start, sql = int(vocabulary.of[END]), "unit long, weight double, weights binary"
 
-            for c in rows_of(batches):
-                ids, wants = _windows(c, vocabulary, part, rounds)
-                learn(ids, wants)
+    def local(common: dict[str, np.ndarray], part: int) -> Callable:
+        def run(rows: pa.Table) -> pa.Table:
+            mine, seen = {k: w.copy() for k, w in common.items()}, 0
+            adam = A.Adam(mine, RATE / (1 + part))
+            for ids, wants in tiles(rows, start):
+                adam.update(A.step(mine, vocabulary, ids, wants)[1])
                 seen += len(ids)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([int(zlib.crc32(flat(mine)) % AVERAGES)], pa.int32()), pa.array([float(seen)]), pa.array([flat(mine)], pa.binary())], names=["part", "weight", "weights"])
+            return pa.table({"unit": rows.column("unit").slice(0, 1), "weight": [float(seen)], "weights": pa.array([flat(mine)], pa.binary())})
 
         return run
 
     def average(rows: pa.Table) -> pa.Table:
-        w = rows.column("weight").to_numpy()
-        total = sum(a * np.frombuffer(x.as_py(), np.float32).astype(np.float64) for a, x in zip(w, rows.column("weights"), strict=True)) / w.sum()
-        return pa.table({"part": rows.column("part").slice(0, 1), "weight": [float(w.sum())], "weights": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+        rows = rows.sort_by("unit")
+        return pa.table({"unit": pa.array([rows.column("unit")[0].as_py() // FAN]), "weight": [sum(rows.column("weight").to_pylist())], "weights": pa.array([_mean(rows.column("weight").to_pylist(), rows.column("weights").to_pylist())], pa.binary())})
 
-    sql = "part int, weight double, weights binary"
     for part in range(rounds):
-        got = coded.select("doc_ids", *_TEXT).mapInArrow(local(p, part), sql).groupBy("part").applyInArrow(average, sql).collect()
+        mine = dealt.where((F.col("unit") >= part * per_round) & (F.col("unit") < (part + 1) * per_round)).withColumn("unit", F.col("unit") - part * per_round)
+        made, n = mine.repartition(2 * per_round, "unit").groupBy("unit").applyInArrow(local(p, part), sql), per_round
+        while n > FAN:
+            made, n = made.groupBy(F.expr(f"unit div {FAN}")).applyInArrow(average, sql), -(-n // FAN)
+        got = sorted(made.collect(), key=lambda r: r["unit"])
         if got:
-            total = sum(r["weight"] * np.frombuffer(r["weights"], np.float32).astype(np.float64) for r in sorted(got, key=lambda r: r["part"]))
-            p = shaped(total / sum(r["weight"] for r in got), p)
+            p = shaped(np.frombuffer(_mean([r["weight"] for r in got], [r["weights"] for r in got]), np.float32), p)
     return p
 
 
+def _mean(weight: list[float], weights: list[bytes]) -> bytes:
+    total = sum(w * np.frombuffer(x, np.float32).astype(np.float64) for w, x in zip(weight, weights, strict=True))
+    return (total / sum(weight)).astype(np.float32).tobytes()
+
+
 def blended(spelled: np.ndarray, count: np.ndarray, n: int, v: int) -> np.ndarray:
     """Natural log of a word's probability: discounted counts for one part, and for the rest (with what the discount freed) its subwords."""
     if n == 0:
@@ -253,8 +309,8 @@ def blended(spelled: np.ndarray, count: np.ndarray, n: int, v: int) -> np.ndarra
 
 
 def score(coded: DataFrame, totals: DataFrame, vocabulary: A.Vocabulary, p: dict[str, np.ndarray], n: int, v: int, buckets: int) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    """doc_id, n_tokens, n_known, base_score, score, blended_score."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("blended_score", pa.float64())])
 
     def run(mine: pa.Table, back: pa.Table) -> pa.Table:
         made = []
@@ -269,23 +325,22 @@ def score(coded: DataFrame, totals: DataFrame, vocabulary: A.Vocabulary, p: dict
             seen = per_doc(c.first, count[c.word_of] > 0) + int(ends > 0)
             ids, first = c.sequences()
             slots, wants, (places, _) = A.layout(vocabulary.of[ids], first, vocabulary.of[END])
-            logs = np.concatenate([A.log_probabilities(p, slots, wants, places[at : at + 1024]) for at in range(0, len(places), 1024)]) + vocabulary.share[ids]
+            logs = np.concatenate([A.log_probabilities(p, vocabulary, slots, wants, places[at : at + 512]) for at in range(0, len(places), 512)]) + vocabulary.share[ids]
             size = np.insert(c.sizes[c.word_of], c.first[1:], 1)
             spelled = np.add.reduceat(logs, np.cumsum(size) - size)
             whole = np.insert(count[c.word_of], c.first[1:], ends)
-            both = blended(spelled, whole, n, v)
-            total = np.add.reduceat(both, c.first[:-1] + np.arange(docs))
-            made.append(pa.RecordBatch.from_arrays([pa.array(c.doc_ids, pa.int64()), pa.array(np.diff(c.first) + 1), pa.array(seen), pa.array(base), pa.array(total / np.log(10))], schema=schema))
+            total = [np.add.reduceat(x, c.first[:-1] + np.arange(docs)) / np.log(10) for x in (spelled, blended(spelled, whole, n, v))]
+            made.append(pa.RecordBatch.from_arrays([pa.array(c.doc_ids, pa.int64()), pa.array(np.diff(c.first) + 1), pa.array(seen), pa.array(base), *map(pa.array, total)], schema=schema))
         return pa.Table.from_batches(made, schema=schema)
 
     mine = coded.select("block", "doc_ids", *_TEXT).groupBy("block")
-    return mine.cogroup(totals.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return mine.cogroup(totals.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, blended_score double")
 
 
 def score_texts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    spark = docs.sparkSession
-    buckets = partitions_of(spark)
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score and blended_score of every document."""
+    size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    buckets = max(1, -(-size // BUCKET_BYTES))
     coded = staged(encoded(docs, tokenizer), "coded")
     coder = Subwords.shared(tokenizer)
     size = coder.tokenizer.get_vocab_size()
@@ -295,12 +350,16 @@ def score_texts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     totals = staged(word_totals(coded, buckets), "word-totals")
     sums = totals.where("block is null").agg(F.sum("v"), F.sum("n")).first()
     v, n = (int(x or 0) for x in sums)
-    vocabulary = A.Vocabulary.make(subword_counts(coded, size), begins)
-    p = train(coded, vocabulary)
+    counts = subword_counts(coded, size)
+    vocabulary = A.Vocabulary.make(counts, begins)
+    per_round = max(1, -(-int(counts.sum()) // (ROUNDS * UNIT)))
+    dealt = staged(units(coded, vocabulary, ROUNDS * per_round), "units")
+    vocabulary.learn(pair_counts(dealt, int(vocabulary.of[END])))
+    p = train(dealt, vocabulary, per_round)
     return score(coded, totals.where("block is not null"), vocabulary, p, n, v, buckets).withColumn("train_tokens", F.lit(n).cast("long"))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_texts(read(spark, sf_dir, "documents"))
     held = F.coalesce(crc_bucket("doc_id", 10) == 0, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "blended_score")
