@@ -35,7 +35,7 @@ from chunkloom.llm.common import Block, blocks, crc_bucket, gather_spans, lowere
 from chunkloom.llm.subwords import Subwords
 
 END = 50256
-ROUNDS, BATCH, RATE = 3, 48, 0.02
+ROUNDS, BATCH, RATE = 3, 96, 0.02
 #: Subwords of one training unit, about.
 UNIT = 400_000
 #: Text of one block, and text whose words make one bucket of counts.
@@ -179,8 +179,9 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def units(coded: DataFrame, vocabulary: A.Vocabulary, n: int) -> DataFrame:
-    """unit, keys, sizes, classes: the class ids of the training documents, dealt to n units by a hash of id and text."""
+def units(coded: DataFrame, vocabulary: A.Vocabulary, n: int, lo: int = 0, hi: int | None = None) -> DataFrame:
+    """unit, keys, sizes, classes: the class ids of the training documents, dealt to n units by a hash of id and text; those of lo to hi."""
+    last = n if hi is None else hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in rows_of(batches):
@@ -197,37 +198,36 @@ def units(coded: DataFrame, vocabulary: A.Vocabulary, n: int) -> DataFrame:
             key[order] += (np.arange(len(key)) - np.repeat(new, np.diff(np.append(new, len(key))))).astype(np.uint64)  # equal rows part
             unit = (mix(key) % np.uint64(n)).astype(np.int64)
             order = np.argsort(unit, kind="stable")
+            order = order[(unit[order] >= lo) & (unit[order] < last)]
+            if len(order) == 0:
+                continue
             ends = np.flatnonzero(np.diff(unit[order], append=-1)) + 1
-            for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                mine = order[lo:hi]
+            for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                mine = order[a:z]
                 raw = [squeezed(key[mine]), squeezed(size[mine]), squeezed(classes[gather_spans(size[mine], first[mine])])]
                 yield pa.RecordBatch.from_arrays([pa.array([int(unit[mine[0]])]), *(pa.array([x], pa.binary()) for x in raw)], names=["unit", "keys", "sizes", "classes"])
 
     return coded.select("doc_ids", *_TEXT).mapInArrow(run, "unit long, keys binary, sizes binary, classes binary")
 
 
-def pair_counts(dealt: DataFrame, start: int) -> np.ndarray:
-    """How often each class follows each other one in the units' documents, which begin after ``start``."""
-    k = A.CLASSES
+def pair_counts(coded: DataFrame, vocabulary: A.Vocabulary) -> np.ndarray:
+    """How often each class follows each other one in the training documents, which begin after the end's class."""
+    k, start = A.CLASSES, int(vocabulary.of[END])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, waiting, size = np.zeros(k * k, np.int64), [], 0
-        for rows in batches:
-            for sizes, classes in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                of, n = unsqueezed(classes), unsqueezed(sizes)
-                before = np.append(0, of[:-1])
-                before[np.cumsum(n) - n] = start
-                waiting.append(before * k + of)
-                size += len(of)
-                if size > k * k:
-                    total += np.bincount(np.concatenate(waiting), minlength=k * k)
-                    waiting, size = [], 0
-        total += np.bincount(np.concatenate([*waiting, np.zeros(0, np.int64)]), minlength=k * k)
+        total = np.zeros(k * k, np.int64)
+        for c in rows_of(batches):
+            docs = np.flatnonzero(c.train)
+            ids, first = c.sequences(docs)
+            of = vocabulary.of[ids]
+            before = np.append(0, of[:-1])[: len(of)]
+            before[first[:-1]] = start
+            total += np.bincount(before * k + of, minlength=k * k)
         at = np.flatnonzero(total)
         for lo in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[lo : lo + 100_000].astype(np.int32)), pa.array(total[at[lo : lo + 100_000]])], names=["pair", "n"])
 
-    found = dealt.select("sizes", "classes").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    found = coded.select(*_TEXT).mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(k * k)
     out[found["pair"].to_numpy()] = found["n"].to_numpy(np.float64)
     return out.reshape(k, k)
@@ -263,7 +263,7 @@ def shaped(raw: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray
     return out
 
 
-def train(dealt: DataFrame, vocabulary: A.Vocabulary, per_round: int, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+def train(coded: DataFrame, vocabulary: A.Vocabulary, per_round: int, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Average of the units' weights after each round, weighted by their windows; round r has the units r * per_round and on."""
     p = A.initial()
     start, sql = int(vocabulary.of[END]), "unit long, weight double, weights binary"
@@ -284,7 +284,7 @@ def train(dealt: DataFrame, vocabulary: A.Vocabulary, per_round: int, rounds: in
         return pa.table({"unit": pa.array([rows.column("unit")[0].as_py() // FAN]), "weight": [sum(rows.column("weight").to_pylist())], "weights": pa.array([_mean(rows.column("weight").to_pylist(), rows.column("weights").to_pylist())], pa.binary())})
 
     for part in range(rounds):
-        mine = dealt.where((F.col("unit") >= part * per_round) & (F.col("unit") < (part + 1) * per_round)).withColumn("unit", F.col("unit") - part * per_round)
+        mine = units(coded, vocabulary, rounds * per_round, part * per_round, (part + 1) * per_round).withColumn("unit", F.col("unit") - part * per_round)
         made, n = mine.repartition(2 * per_round, "unit").groupBy("unit").applyInArrow(local(p, part), sql), per_round
         while n > FAN:
             made, n = made.groupBy(F.expr(f"unit div {FAN}")).applyInArrow(average, sql), -(-n // FAN)
@@ -353,9 +353,8 @@ def score_texts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     counts = subword_counts(coded, size)
     vocabulary = A.Vocabulary.make(counts, begins)
     per_round = max(1, -(-int(counts.sum()) // (ROUNDS * UNIT)))
-    dealt = staged(units(coded, vocabulary, ROUNDS * per_round), "units")
-    vocabulary.learn(pair_counts(dealt, int(vocabulary.of[END])))
-    p = train(dealt, vocabulary, per_round)
+    vocabulary.learn(pair_counts(coded, vocabulary))
+    p = train(coded, vocabulary, per_round)
     return score(coded, totals.where("block is not null"), vocabulary, p, n, v, buckets).withColumn("train_tokens", F.lit(n).cast("long"))
 
 

@@ -502,7 +502,7 @@ def test_training_windows_tile_every_document(spark, small):
             windows += len(slots)
             got += zip(slots[wants != A.PAD].tolist(), wants[wants != A.PAD].tolist(), strict=True)
     assert sorted(got) == sorted(want) and windows == n
-    pairs = lm_scoring.pair_counts(units, start)
+    pairs = lm_scoring.pair_counts(coded, vocabulary)
     assert pairs.sum() == len(want) and all(pairs[a, b] == k for (a, b), k in Counter(want).items())
 
 
