@@ -36,6 +36,16 @@ def prepare(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as spark.checkpoint.dir names it; only in local mode a folder of this machine may stand in."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = os.path.join(tempfile.gettempdir(), "chunkloom")
+    return at.rstrip("/")
+
+
 def prepared(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """``query`` (spark, ...) after prepare(spark)."""
 

@@ -70,3 +70,33 @@ def insecure_endpoint(endpoint: Column) -> Column:
 
 def mib_per_second(bytes_: Column, ms: Column) -> Column:
     return F.when(ms == 0, F.lit(0.0)).otherwise(bytes_ / 1048576.0 / (ms / 1000.0))
+
+
+def is_container(name: Column) -> Column:
+    """Whether a file is to be read as a tensor container, by its extension."""
+    return F.lower(F.regexp_extract(name, r"[^/\\]\.([^./\\]+)$", 1)) == "safetensors"
+
+
+def artifact_format(name: Column, wanted: Column | None = None) -> Column:
+    """The format a file is read in: the one wanted, or by its extension where that is null or ``auto``."""
+    chosen = F.when(is_container(name), "safetensors").otherwise("raw")
+    return chosen if wanted is None else F.when(wanted.isNull() | (wanted == "auto"), chosen).otherwise(wanted)
+
+
+def target_path(root: str, requested: Column) -> Column:
+    """Where a requested path lies, or null if it leaves ``root``: relative ones must not go up, absolute ones must lie inside.
+
+    Links are not followed: the paths need not exist.
+    """
+    parts = F.split(requested, "/")
+    relative = ~requested.startswith("/")
+    up = F.array_contains(parts, "..")
+    kept = F.filter(parts, lambda p: (p != "") & (p != "."))
+    steps = F.aggregate(
+        kept, F.array().cast("array<string>"),
+        lambda a, p: F.when(p != "..", F.concat(a, F.array(p))).otherwise(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))),
+    )
+    flat = F.concat(F.lit("/"), F.array_join(steps, "/"))
+    base = root.rstrip("/")
+    inside = flat.startswith(base + "/")
+    return F.when(relative & ~up & (F.size(kept) > 0), F.concat(F.lit(base + "/"), F.array_join(kept, "/"))).when(~relative & inside, flat)

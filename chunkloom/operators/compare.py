@@ -107,8 +107,31 @@ def compare_snapshots(left: DataFrame, right: DataFrame) -> DataFrame:
     return l.join(r, "one").select(*((F.col(f"r_{n}") - F.col(f"l_{n}")).cast("long").alias(f"{n}_delta") for n in names))
 
 
-def markdown(diff: DataFrame, everything: bool = False) -> DataFrame:
-    """A report table's lines, in order, as one column."""
+def positional(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Right chunks with the object of the left chunk of the same place in the manifest and the same length (null: none)."""
+    left = sided(pairs, chunks, "left").select("pair", "chunk_ix", "size", F.col("object").alias("left_object"))
+    return sided(pairs, chunks, "right").join(left, ["pair", "chunk_ix", "size"], "left")
+
+
+def markdown(pairs: DataFrame, artifacts: DataFrame, diff: DataFrame, everything: bool = False) -> DataFrame:
+    """pair, part, name, line: the lines of a report for each pair, in the order of part and name.
+
+    artifacts: artifact_id, source_name, logical_size, edges, provider. Parts 1 and 2 are the sides, 3 to 10 the totals,
+    11 the tensors, without the unchanged ones unless ``everything``.
+    """
+    row = lambda side: F.format_string("| %s | `%s` | %s | %d | %d | %s |", F.lit(side.capitalize()), F.col("artifact_id"), F.col("source_name"), F.col("logical_size"), F.col("edges"), F.coalesce("provider", F.lit("none")))
+    empty = F.lit("")
+    out = None
+    for part, side in ((1, "left"), (2, "right")):
+        lines = sided(pairs, artifacts, side).select("pair", F.lit(part).alias("part"), empty.alias("name"), row(side).alias("line"))
+        out = lines if out is None else out.unionByName(lines)
+    named = (
+        ("Unchanged", "unchanged_tensors"), ("Changed", "changed_tensors"), ("Added", "added_tensors"), ("Removed", "removed_tensors"),
+        ("Reused right bytes", "reused_bytes"), ("Added bytes", "added_bytes"), ("Removed bytes", "removed_bytes"), ("Changed right bytes", "changed_bytes"),
+    )
+    each = F.array(*(F.struct(F.lit(3 + k).alias("part"), F.format_string(f"- {label}: %d", F.col(c)).alias("line")) for k, (label, c) in enumerate(named)))
+    sums = diff_totals(diff).select("pair", F.explode(each).alias("x")).select("pair", "x.part", empty.alias("name"), "x.line")
     shown = diff if everything else diff.where("status <> 'unchanged'")
-    line = F.concat_ws(" | ", F.lit("|"), "name", "status", F.col("left_bytes").cast("string"), F.col("right_bytes").cast("string"), F.col("shared_bytes").cast("string"), F.lit("|"))
-    return shown.orderBy("pair", "name").select("pair", F.trim(line).alias("line"))
+    share = F.bround(pct(F.col("shared_bytes"), F.col("right_bytes")), 2)
+    line = F.format_string("| %s | %s | %d | %.2f%% |", F.col("name"), F.col("status"), F.col("right_bytes"), share)
+    return out.unionByName(sums).unionByName(shown.select("pair", F.lit(11).alias("part"), "name", line.alias("line")))

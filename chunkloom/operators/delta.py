@@ -36,67 +36,87 @@ def potential(pairs: DataFrame, chunks: DataFrame, objects: DataFrame, level: in
     return out.withColumn("potential_savings_bytes", saved).withColumn("potential_savings_pct", pct(F.col("potential_savings_bytes"), F.col("full_compressed_bytes")))
 
 
-_RESULT = T.StructType([
-    T.StructField("pair", T.LongType()), T.StructField("target", T.StringType()), T.StructField("base", T.StringType()), T.StructField("stored", T.BooleanType()), T.StructField("full_bytes", T.LongType()),
-    T.StructField("delta_bytes", T.LongType()), T.StructField("savings_pct", T.DoubleType()), T.StructField("depth", T.LongType()), T.StructField("reason", T.StringType()), T.StructField("record", T.BinaryType()),
-])
+def stored_state(representations: DataFrame) -> DataFrame:
+    """object, loose (size), packed, depth, up (the base of its delta) of every stored object."""
+    return representations.groupBy("object").agg(
+        F.max(F.when(F.col("kind") == "loose", F.col("stored_size"))).alias("loose"), F.max(F.when(F.col("kind") == "pack", 1)).alias("packed"),
+        F.coalesce(F.max(F.when(F.col("kind") == "delta", F.col("depth"))), F.lit(0)).cast("long").alias("depth"), F.max(F.when(F.col("kind") == "delta", F.col("base"))).alias("up"),
+    )
+
+
+def decide(candidates: DataFrame, state: DataFrame, most: int) -> DataFrame:
+    """``candidates`` (pair, chunk_ix, target, base, before, after) with depth and reason (null: to be stored).
+
+    Candidates are taken in the order of pair and place, over all pairs: a delta stored by an earlier one counts in the
+    depth and in the chain of a later one. ``before`` and ``after`` are reasons that come before and after the checks of
+    cycle and depth. Each round decides the candidates whose base no undecided earlier one may still change; only these
+    small rows take part, no bytes. ``state``: object, depth, up.
+    """
+    edges = state.where("up is not null").select(F.col("object").alias("child_id"), F.col("up").alias("parent_id"))
+    above = closure(edges, candidates.select(F.col("base").alias("root_id")).distinct()).where("root_id <> node_id").groupBy(F.col("root_id").alias("base")).agg(F.collect_set("node_id").alias("chain0"))
+    first = state.select(F.col("object").alias("base"), F.col("depth").alias("depth0")).join(above, "base", "left")
+    rows = candidates.withColumn("o", F.struct("pair", "chunk_ix")).join(first, "base", "left")
+    pending = cut(rows.withColumn("depth0", F.coalesce("depth0", F.lit(0)).cast("long")).withColumn("chain0", F.coalesce("chain0", F.array().cast("array<string>"))))
+    names, done, accepted = pending.columns, None, None
+    while True:
+        waits = pending.where("before is null and after is null").groupBy(F.col("target").alias("base")).agg(F.min("o").alias("next"))
+        marked = pending.join(waits, "base", "left").withColumn("blocked", F.coalesce(F.col("next") < F.col("o"), F.lit(False)))
+        ready = marked.where("not blocked").select(*names)
+        if accepted is None:
+            ready = ready.withColumn("depth1", F.col("depth0")).withColumn("chain", F.col("chain0"))
+        else:
+            a = accepted.select(F.col("target").alias("base"), F.col("o").alias("o1"), F.col("depth").alias("d"), F.col("chain").alias("c"))
+            last = ready.join(a, "base").where(F.col("o1") < F.col("o")).groupBy("pair", "chunk_ix", "target").agg(F.max_by(F.struct("d", "c"), "o1").alias("s"))
+            ready = ready.join(last, ["pair", "chunk_ix", "target"], "left").withColumn("depth1", F.coalesce("s.d", "depth0")).withColumn("chain", F.coalesce("s.c", "chain0"))
+        free = F.col("before").isNull()
+        cycle = free & (F.array_contains("chain", F.col("target")) | (F.col("base") == F.col("target")))
+        depth = F.when(free & ~cycle, F.col("depth1") + 1).otherwise(0).cast("long")
+        reason = F.coalesce("before", F.when(cycle, "cycle"), F.when(F.col("depth1") + 1 > most, "depth"), "after")
+        step = cut(ready.select("pair", "chunk_ix", "target", "base", "o", depth.alias("depth"), reason.alias("reason"), F.concat(F.array("base"), "chain").alias("chain")))
+        done = step if done is None else done.unionByName(step)
+        accepted = done.where("reason is null")
+        left = cut(marked.where("blocked").select(*names))
+        if left.isEmpty():
+            return done.select("pair", "chunk_ix", "target", "base", "depth", "reason")
+        pending = left
 
 
 def optimize(pairs: DataFrame, chunks: DataFrame, objects: DataFrame, representations: DataFrame, policy: Policy | None = None) -> DataFrame:
     """The verdict on every changed object of each pair, with the delta's record where it is accepted.
 
-    Depth counts deltas that were stored before, in this run too: a pair's candidates are judged in manifest order, and
-    rely on the depths that earlier ones of the pair got. Rows: see _RESULT.
+    Every candidate is encoded in a row of its own (a record's size does not depend on its depth); decide() then works on
+    the sizes alone. Rows: pair, target, base, stored, full_bytes, delta_bytes,
+    savings_pct, depth, reason, record.
     """
     policy = policy or Policy()
-    most, least, level = policy.max_delta_depth, policy.delta_min_savings_pct, policy.zstd_level
     candidates = compare.delta_candidates(pairs, chunks)
-    state = representations.groupBy("object").agg(
-        F.max(F.when(F.col("kind") == "loose", F.col("stored_size"))).alias("loose"), F.max(F.when(F.col("kind") == "pack", 1)).alias("packed"),
-        F.max(F.when(F.col("kind") == "delta", F.col("depth"))).alias("depth"), F.max(F.when(F.col("kind") == "delta", F.col("base"))).alias("up"),
+    state = cut(stored_state(representations))
+    rows = candidates.join(state.select(F.col("object").alias("target"), F.col("loose").alias("full"), "packed"), "target", "left")
+    rows = rows.join(state.select(F.col("object").alias("base"), F.lit(True).alias("based")), "base", "left")
+    before = F.when(F.col("full").isNull(), "target is not loose").when(F.col("packed").isNotNull(), "target is also packed").when(F.col("based").isNull(), "base is not stored")
+    rows = _with_bytes(_with_bytes(rows.withColumn("before", before), objects, "target", "data"), objects, "base", "base_data")
+    level = policy.zstd_level
+
+    @F.pandas_udf(T.BinaryType())
+    def encode(target: pd.Series, base: pd.Series, base_id: pd.Series) -> pd.Series:
+        one = lambda t, b, i: None if t is None or b is None or len(t) != len(b) else codec.encode_delta(bytes(t), bytes(b), i, 1, level)
+        return pd.Series([one(*x) for x in zip(target, base, base_id, strict=True)], dtype=object)
+
+    none = F.lit(None).cast("binary")
+    made = rows.select("pair", "chunk_ix", "target", "base", "before", "full", encode(F.when(F.col("before").isNull(), F.col("data")).otherwise(none), "base_data", "base").alias("record"))
+    n = F.octet_length("record").cast("long")
+    saved = F.when(F.col("full") > 0, F.greatest(F.col("full") - n, F.lit(0)) / F.col("full") * 100).otherwise(0.0)
+    after = F.when(F.col("record").isNull(), "sizes differ").when((n >= F.col("full")) | (saved + EPSILON < policy.delta_min_savings_pct), "savings below the policy")
+    judged = cut(made.withColumn("delta_bytes", n).withColumn("savings_pct", saved).withColumn("after", after))
+    verdicts = decide(judged.select("pair", "chunk_ix", "target", "base", "before", "after"), state, policy.max_delta_depth)
+    out = judged.drop("base", "before", "after").join(verdicts.select("pair", "chunk_ix", "target", "base", "depth", "reason"), ["pair", "chunk_ix", "target"])
+    tried = F.col("reason").isNull() | F.col("reason").startswith("savings")
+    record = F.concat(F.substring(F.col("record"), 1, 68), F.unhex(F.lpad(F.hex("depth"), 2, "0")), F.expr("substring(record, 70)"))
+    return out.select(
+        F.col("pair").cast("long").alias("pair"), "target", "base", F.col("reason").isNull().alias("stored"), F.coalesce("full", F.lit(0)).cast("long").alias("full_bytes"),
+        F.when(tried, F.col("delta_bytes")).otherwise(0).cast("long").alias("delta_bytes"), F.when(tried, F.col("savings_pct")).otherwise(0.0).alias("savings_pct"),
+        "depth", "reason", F.when(F.col("reason").isNull(), record).alias("record"),
     )
-    edges = state.where("up is not null").select(F.col("object").alias("child_id"), F.col("up").alias("parent_id"))
-    above = closure(edges, candidates.select(F.col("base").alias("root_id")).distinct()).select(F.col("root_id").alias("base"), F.col("node_id").alias("target")).withColumn("cycle", F.lit(True))
-    rows = candidates.join(above, ["base", "target"], "left")
-    rows = rows.join(state.select(F.col("object").alias("target"), F.col("loose").alias("target_loose"), F.col("packed").alias("target_packed")), "target", "left")
-    rows = rows.join(state.select(F.col("object").alias("base"), F.coalesce("depth", F.lit(0)).alias("base_depth")), "base", "left")
-    rows = _with_bytes(_with_bytes(rows, objects, "target", "data"), objects, "base", "base_data")
-
-    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, depths = [], {}
-        for r in pdf.sort_values("chunk_ix").itertuples():
-            row = {"pair": r.pair, "target": r.target, "base": r.base, "stored": False, "full_bytes": 0, "delta_bytes": 0, "savings_pct": 0.0, "depth": 0, "reason": None, "record": None}
-            out.append(row)
-            if pd.isna(r.target_loose):
-                row["reason"] = "target is not loose"
-                continue
-            row["full_bytes"] = full = int(r.target_loose)
-            if not pd.isna(r.target_packed):
-                row["reason"] = "target is also packed"
-                continue
-            if pd.isna(r.base_depth):
-                row["reason"] = "base is not stored"
-                continue
-            if r.cycle is True:
-                row["reason"] = "cycle"
-                continue
-            row["depth"] = depth = int(depths.get(r.base, r.base_depth)) + 1
-            if depth > most:
-                row["reason"] = "depth"
-                continue
-            if len(r.data) != len(r.base_data):
-                row["reason"] = "sizes differ"
-                continue
-            record = codec.encode_delta(r.data, r.base_data, r.base, depth, level)
-            row["delta_bytes"], saved = len(record), max(0, full - len(record))
-            row["savings_pct"] = saved / full * 100 if full else 0.0
-            if len(record) >= full or row["savings_pct"] + EPSILON < least:
-                row["reason"] = "savings below the policy"
-                continue
-            row["stored"], row["record"], depths[r.target] = True, record, depth
-        return pd.DataFrame(out, columns=[f.name for f in _RESULT])
-
-    return rows.groupBy("pair").applyInPandas(judge, _RESULT)
 
 
 def optimize_totals(verdicts: DataFrame) -> DataFrame:

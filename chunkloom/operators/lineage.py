@@ -6,21 +6,20 @@ written to the checkpoint folder, so that plans stay short and a lost executor c
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chunkloom.deploy import shared_dir
+
 MAX_DEPTH, MAX_NODES, MAX_OPERATION, MAX_NOTE = 256, 100_000, 64, 1024
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder (a folder of this machine only where none is set)."""
+    """``df`` written once to the shared checkpoint folder."""
     import uuid
 
     spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/chunkloom"
-    path = f"{base.rstrip('/')}/walk-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/walk-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -37,6 +36,7 @@ def ancestry(edges: DataFrame, roots: DataFrame, known: DataFrame, max_depth: in
     start = roots.select("root_id", F.lit(0).cast("long").alias("depth"), F.array("root_id").alias("path"), F.col("root_id").alias("node_id"))
     level = start.withColumn("operation", F.lit(None).cast("string")).withColumn("note", F.lit(None).cast("string")).withColumn("missing", F.lit(False)).withColumn("cycle", F.lit(False))
     levels = [cut(level)]
+    edges = cut(edges.select("child_id", "parent_id", "operation", "note"))
     outgoing = edges.select(F.col("child_id").alias("node_id"), F.col("parent_id").alias("next_id"), F.col("operation").alias("next_operation"), F.col("note").alias("next_note"))
     while True:
         open_ = levels[-1].where("not missing and not cycle").select("root_id", "depth", "path", "node_id")
@@ -61,7 +61,7 @@ def closure(edges: DataFrame, start: DataFrame, max_nodes: int | None = None) ->
     """(root_id, node_id): all ancestors of each root, each once (the root itself included), whatever the number of paths."""
     seen = cut(start.select("root_id", F.col("root_id").alias("node_id")).distinct())
     frontier = seen
-    outgoing = edges.select(F.col("child_id").alias("node_id"), "parent_id").distinct()
+    outgoing = cut(edges.select(F.col("child_id").alias("node_id"), "parent_id").distinct())
     while True:
         step = frontier.join(outgoing, "node_id").select("root_id", F.col("parent_id").alias("node_id")).distinct()
         frontier = cut(step.join(seen, ["root_id", "node_id"], "left_anti"))

@@ -16,7 +16,7 @@ from chunkloom.operators.validate import coverage
 def _join_bytes(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     """by, body: the bytes of ``data`` in order. A body must fit in one row's two gigabytes."""
     parts = F.array_sort(F.collect_list(F.struct(order, "data")))
-    return rows.groupBy(*by).agg(F.aggregate(parts, F.unhex(F.lit("")), lambda a, p: F.concat(a, p["data"])).alias("body"))
+    return rows.groupBy(*by).agg(F.unhex(F.array_join(F.transform(parts, lambda p: F.hex(p["data"])), "")).alias("body"))
 
 
 def bodies(artifacts: DataFrame, chunks: DataFrame, objects: DataFrame, hash: str = "sha256") -> DataFrame:

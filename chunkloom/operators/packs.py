@@ -26,14 +26,22 @@ def encoded(objects: DataFrame, level: int = codec.LEVEL) -> DataFrame:
     return rows.select("object", "size", "p.encoding", "p.payload").withColumn("stored_size", F.octet_length("payload").cast("long"))
 
 
-def layout(entries: DataFrame, pack: str = "object_prefix", pack_of: F.Column | None = None) -> DataFrame:
+#: Bytes after which a pack ends: a body is one row of at most two gigabytes.
+PACK_BYTES = 256 << 20
+
+
+def layout(entries: DataFrame, pack_of: F.Column | None = None, pack_bytes: int = PACK_BYTES) -> DataFrame:
     """``entries`` (object, stored_size) with the pack they go to and their offset there: a running sum in the order of ids.
 
-    Packs are cut by the first hex digits of the id unless ``pack_of`` says otherwise, so that packs are written in parallel.
+    Packs are cut by the first hex digits of the id unless ``pack_of`` says otherwise, so that packs are written in
+    parallel, and end with the object that passes a multiple of ``pack_bytes`` (00, 00-1, 00-2, ..).
     """
     to = F.substring("object", 1, 2) if pack_of is None else pack_of
-    before = Window.partitionBy("pack").orderBy("object").rowsBetween(Window.unboundedPreceding, -1)
-    return entries.withColumn("pack", to).withColumn("offset", F.coalesce(F.sum("stored_size").over(before), F.lit(0)).cast("long"))
+    before = Window.partitionBy("_part").orderBy("object").rowsBetween(Window.unboundedPreceding, -1)
+    placed = entries.withColumn("_part", to).withColumn("offset", F.coalesce(F.sum("stored_size").over(before), F.lit(0)).cast("long"))
+    placed = placed.withColumn("_ix", F.floor(F.col("offset") / F.lit(pack_bytes)))
+    placed = placed.withColumn("pack", F.when(F.col("_ix") == 0, F.col("_part")).otherwise(F.concat_ws("-", "_part", F.col("_ix").cast("string"))))
+    return placed.withColumn("offset", F.col("offset") - F.min("offset").over(Window.partitionBy("_part", "_ix"))).drop("_part", "_ix")
 
 
 def repack_candidates(representations: DataFrame) -> DataFrame:
@@ -42,16 +50,16 @@ def repack_candidates(representations: DataFrame) -> DataFrame:
     return representations.where("kind = 'loose'").select("object").distinct().join(packed, "object", "left_anti")
 
 
-def build(entries: DataFrame, one_pack: bool = True) -> DataFrame:
-    """pack_file, index (JSON), body of packs of encoded() entries; a pack must fit in one row's two gigabytes.
+def build(entries: DataFrame, one_pack: bool = True, salt: str = "", pack_bytes: int = PACK_BYTES) -> DataFrame:
+    """pack_file, index (JSON), body of packs of encoded() entries; ``one_pack`` cuts them by size alone.
 
-    A pack's name is the BLAKE3 of its objects' ids.
+    A pack's name is the BLAKE3 of ``salt`` and its objects' ids.
     """
-    placed = layout(entries, pack_of=F.lit("0") if one_pack else None)
+    placed = layout(entries, pack_of=F.lit("0") if one_pack else None, pack_bytes=pack_bytes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("object")
-        name = "pack-" + blake3_many(["\n".join(pdf["object"]).encode()])[0]
+        name = "pack-" + blake3_many([(salt + "\n".join(pdf["object"])).encode()])[0]
         return pd.DataFrame({"pack_file": [f"{name}.mvpack"], "objects": [pdf[["object", "offset", "size", "stored_size", "encoding"]].rename(columns={"object": "id"}).to_dict("records")], "body": [b"".join(pdf["payload"])]})
 
     schema = "pack_file string, objects array<struct<id: string, offset: long, size: long, stored_size: long, encoding: string>>, body binary"
@@ -76,6 +84,12 @@ def entries(indexes: DataFrame) -> DataFrame:
     return e.withColumn("error", error)
 
 
+def lookup(indexes: DataFrame, objects: DataFrame) -> DataFrame:
+    """The entry of each object (object): of several packs that hold it, the first by file name."""
+    found = entries(indexes).where("error is null").join(objects.select("object").distinct(), "object", "left_semi")
+    return found.groupBy("object").agg(F.min(F.struct("pack_file", "offset", "size", "stored_size", "encoding")).alias("e")).select("object", "e.*")
+
+
 @F.pandas_udf(T.BinaryType())
 def _decode(encoding: pd.Series, payload: pd.Series, size: pd.Series) -> pd.Series:
     def one(e: str, p: bytes | None, n: int) -> bytes | None:

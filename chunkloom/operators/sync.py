@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkloom.functions.ranges import digest
@@ -33,6 +33,13 @@ def plan(chunks: DataFrame, source: DataFrame, destination: DataFrame) -> DataFr
     return joined.select("artifact_id", "object", "size", "instances", action.alias("action"))
 
 
+def run_plan(planned: DataFrame) -> DataFrame:
+    """``planned`` as a run of transfers in the order of artifact ids: what one copies is there for those after it."""
+    order = Window.partitionBy("object").orderBy("artifact_id")
+    again = (F.col("action") == "copy") & (F.row_number().over(order) > 1)
+    return planned.withColumn("action", F.when(again, "reuse").otherwise(F.col("action")))
+
+
 def totals(planned: DataFrame) -> DataFrame:
     """Per artifact: copied bytes count each object once, reused bytes every chunk that holds a reused object."""
     of = lambda action, value: total(F.when(F.col("action") == action, value).otherwise(0))

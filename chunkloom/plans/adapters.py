@@ -66,6 +66,12 @@ def conv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(right, "pair")
 
 
+def piece_ranges(size):
+    from chunkloom.functions.ranges import ranges
+
+    return ranges(size, TENSOR_CHUNK)
+
+
 def container_chunks(parts: DataFrame) -> DataFrame:
     """Chunks of whole containers that pay no heed to tensors (their object is their place)."""
     size = parts.groupBy("artifact_id").agg(F.sum(F.octet_length("payload")).cast("long").alias("n"))

@@ -174,3 +174,56 @@ SQL: dict[str, str] = {
     "delta_reconstruct": f"""{_D}, w as (select * from chunks where size = 256)
         select distinct c.object, true as ok, 256::BIGINT as size from w c join w p on p.artifact_id = c.artifact_id and p.chunk_ix = c.chunk_ix - 1 where c.chunk_ix % 2 = 1 and c.object <> p.object""",
 }
+
+_BENCHED = "with objects as (select sha256(encode(text)) as object, any_value(octet_length(encode(text)))::BIGINT as n from benchmark where text is not null group by 1)"
+
+SQL |= {
+    "manifest_round_trip": f"""{_D} select artifact_id, case when last_doc % 2 = 0 then 'again-' else '' end || last_doc as source_name, artifact_id || '.json' as file, logical_size, ((logical_size + 255) // 256)::BIGINT as chunks from arts""",
+    "manifest_scan_errors": f"""{_D}, m as (select last_doc % 11 = 0 as torn, last_doc % 13 = 0 as old, last_doc % 17 = 0 as size from arts)
+        select rule, files from (select 'json' as rule, count(*) filter (torn) as files from m union all select 'version', count(*) filter (old and not torn) from m union all select 'logical_size', count(*) filter (size and not torn) from m) where files > 0
+        union all select 'sound', count(*) filter (not torn and not old and not size) from m""",
+    "pointer_round_trip": f"""{_D} select case when last_doc % 5 = 0 then 'b/.hidden/' else '' end || artifact_id || case when last_doc % 3 = 0 then '.MVPTR' else '.mvptr' end as pointer, artifact_id, 'manifests/' || artifact_id || '.json' as manifest, logical_size from arts where last_doc % 11 <> 0""",
+    "store_listing": f"""{_BENCHED} select object, 'loose' as kind, n as logical_size, null::VARCHAR as base, 0::BIGINT as depth, n as loose_bytes from objects
+        union all select object, 'pack', n, null, 0, null from objects where object >= '8'
+        union all select object, 'delta', n, sha256(repeat('x', n)), 1, null from objects where object >= 'c'""",
+    "store_objects": f"{_BENCHED} select object, true as ok, n as size from objects",
+    "pack_lookup": f"{_BENCHED} select object, case when object >= '6' then 'pack-a.mvpack' else 'pack-b.mvpack' end as pack_file, n as size from objects",
+    "repack_counts": f"""{_BENCHED}, c as (select count(*) as n, count(*) filter (object >= '8') as packed, count(*) filter (object >= 'c') as deltas from objects)
+        select 'pack' as kind, n from c union all select 'loose', packed from c where packed > 0 union all select 'delta', deltas from c where deltas > 0
+        union all select 'report objects', n - packed from c union all select 'report pruned', n - packed from c""",
+    "compact_counts": f"{_BENCHED} select 'pack' as kind, count(*) as n, sum(n)::BIGINT as bytes, count(*) as sound from objects",
+    "gc_prune": f"""{_BENCHED} select count(*) filter (not k) as orphan_objects, coalesce(sum(n) filter (not k), 0)::BIGINT as orphan_bytes, count(*) filter (k) as loose_left from (select *, right(object, 1) in ('0', '1') as k from objects)""",
+    "put_objects": f"{_BENCHED} select object, 1::BIGINT as n, true as sound, substr(object, 1, 1) in ('0', '5', '7') as written from objects",
+    "remote_audit": f"""{_D}, refs as (select distinct object from chunks where last_doc % 7 <> 0), o as (select object, size, object in (select object from refs) as named, substr(object, 1, 2) as p from objects)
+        select count(*) filter (p not in ('00', '02', '03')) as objects, count(*) filter (named) as referenced_objects, count(*) filter (named and p in ('00', '02', '03')) as missing_objects, count(*) filter (named and p = '01') as corrupt_objects,
+          count(*) filter (not named and p not in ('00', '02', '03')) as orphan_objects, coalesce(sum(size) filter (not named and p not in ('00', '02', '03')), 0)::BIGINT as orphan_bytes, count(*) filter (p = '03') as bad_keys, false as ok from o""",
+    "raw_file_scan": """select 'page-' || page_id || case page_id % 4 when 0 then '.bin' when 1 then '.safetensors' when 2 then '.SafeTensors' else '' end as source_name, sha256(encode(html)) as artifact_id, octet_length(encode(html))::BIGINT as bytes,
+        case when page_id % 4 in (1, 2) then 'safetensors' else 'raw' end as format from pages where html is not null""",
+    "container_headers": f"""{_C} select artifact_id as source_name, row_number() over (partition by artifact_id order by encode(name)) - 1 as ix, name, 'U8' as dtype, start as payload_offset, n as data_size, null::VARCHAR as error from sized""",
+    "lineage_lines": """with e as (select doc_id::VARCHAR as c, (doc_id // 2)::VARCHAR as p, 'merge' as op from documents where doc_id > 0 union all select doc_id::VARCHAR, (doc_id // 5)::VARCHAR, 'base' from documents where doc_id > 0)
+        select c as root_id, c || '>' || p as path, op as operation, op = 'merge' as last from e union all select a.c, a.c || '>' || a.p || '>' || b.p, b.op, b.op = 'merge' from e a join e b on b.c = a.p""",
+    "hub_lookup": """select path, snapshot from (select '/hub/models--org--m/snapshots/r' || page_id % 50 || '/f1.bin' as path, 'r' || page_id % 50 as snapshot, page_id * 7919 % 1000 as modified from pages where page_id % 3 = 1) order by modified desc, path limit 1""",
+    "hub_provenance": """select page_id, 'huggingface' as provider, case when page_id % 2 = 0 then 'org' end as namespace, case when page_id % 2 = 0 then 'org/m' || page_id else 'm' || page_id end as repository, 'm' || page_id as model_name,
+        case when page_id % 5 = 0 then 'main' end as requested_revision, case when page_id % 3 = 0 then 'rev' || page_id end as resolved_revision, 'f.bin' as filename,
+        'hf://' || case when page_id % 2 = 0 then 'org/m' || page_id else 'm' || page_id end || case when page_id % 3 = 0 then '@rev' || page_id when page_id % 5 = 0 then '@main' else '' end || '/f.bin' as source_uri from pages""",
+    "diff_report": f"""{_C}, whole as (select conv_id, sum(n)::BIGINT as total from sized group by 1), t as (select pair, count(*) filter (status = 'unchanged') as c3, count(*) filter (status = 'changed') as c4, count(*) filter (status = 'added') as c5, count(*) filter (status = 'removed') as c6,
+          sum(shared_bytes)::BIGINT as c7, coalesce(sum(right_bytes) filter (status = 'added'), 0)::BIGINT as c8, coalesce(sum(left_bytes) filter (status = 'removed'), 0)::BIGINT as c9, coalesce(sum(right_bytes - shared_bytes) filter (status = 'changed'), 0)::BIGINT as c10 from diff group by 1),
+        named as (select * from (values (3, 'Unchanged'), (4, 'Changed'), (5, 'Added'), (6, 'Removed'), (7, 'Reused right bytes'), (8, 'Added bytes'), (9, 'Removed bytes'), (10, 'Changed right bytes')) as v(part, label))
+        select pair, 1::INTEGER as part, '' as name, '| Left | `conv-' || l || '` | conv-' || l || '.bin | ' || total || ' | 0 | none |' as line from cpairs join whole on conv_id = l
+        union all select pair, 2, '', '| Right | `conv-' || r || '` | conv-' || r || '.bin | ' || total || ' | 0 | none |' from cpairs join whole on conv_id = r
+        union all select pair, part, '', '- ' || label || ': ' || [c3, c4, c5, c6, c7, c8, c9, c10][part - 2] from t cross join named
+        union all select pair, 11, name, printf('| %s | %s | %d | %.2f%% |', name, status, right_bytes, {_pct('shared_bytes', 'right_bytes')}) from diff where status <> 'unchanged'""",
+    "snapshot_round_trip": f"""{_D} select 1::INTEGER as format_version, artifacts as manifests, logical_bytes, chunks, objects, unique_logical_bytes, dedup_savings_bytes, {_pct('dedup_savings_bytes', 'logical_bytes')} as dedup_savings_pct from {_dedup('arts', 'chunks')}""",
+    "delta_eligibility": """select 'o' || doc_id as target, 'o' || (doc_id - 1) as base, case doc_id % 5 when 1 then 1 when 2 then 2 when 3 then 3 when 4 then 1 else 2 end::BIGINT as depth,
+        case doc_id % 5 when 3 then 'depth' when 0 then 'savings below the policy' end as reason from documents where doc_id % 10 <> 0""",
+    "sync_run": f"""{_D}, tasks as (select artifact_id, object, min(size) as size, count(*) as k from chunks group by 1, 2), there as (select distinct object from kept_chunks),
+        planned as (select *, case when object in (select object from there) then 'reuse' when object not like '00%' then case when row_number() over (partition by object order by artifact_id) = 1 then 'copy' else 'reuse' end else 'missing' end as action from tasks)
+        select artifact_id, count(*) filter (action = 'copy') as objects_copied, coalesce(sum(size) filter (action = 'copy'), 0)::BIGINT as bytes_copied, count(*) filter (action = 'reuse') as objects_reused, coalesce(sum(size * k) filter (action = 'reuse'), 0)::BIGINT as bytes_reused,
+          count(*) filter (action = 'missing') as objects_missing from planned group by 1""",
+    "path_targets": """select page_id, case page_id % 6 when 0 then '/root/a/f' || page_id when 2 then '/root/x/f' || page_id when 5 then '/root/f' || page_id end as target from pages""",
+    "content_defined_cover": f"{_D} select artifact_id, logical_size as covered_bytes, true as bounded from arts",
+    "delta_headers": """select doc_id, case when ok then sha256(encode(text)) end as base, case when ok then doc_id % 4 end as depth, case when ok then octet_length(encode(text))::BIGINT end as size from (select *, doc_id % 7 <> 0 and doc_id % 4 <> 0 as ok from documents where text is not null)""",
+    "positional_chunks": f"""{_D} select p.pair, count(*) as right_chunks, count(l.object) as placed, count(*) filter (l.object = c.object) as equal from pairs p join chunks c on c.artifact_id = p.right_id left join chunks l on l.artifact_id = p.left_id and l.chunk_ix = c.chunk_ix and l.size = c.size group by 1""",
+    "ingest_files": """with a as (select sha256(encode(html)) as artifact_id, max('page-' || page_id) as source_name, any_value(hex(encode(html))) as h, any_value(octet_length(encode(html)))::BIGINT as n from pages where html is not null group by 1)
+        select artifact_id, source_name, n as logical_size, count(*) as chunks, count(distinct substr(h, (ix * 2048 + 1)::BIGINT, 2048)) as objects from a, unnest(range(0, (n + 1023) // 1024)) as t(ix) group by 1, 2, 3""",
+}

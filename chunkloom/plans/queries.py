@@ -26,6 +26,8 @@ def query(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
+    from chunkloom.plans import stores  # noqa: F401  registers its queries
+
     return dict(_ALL)
 
 
@@ -155,8 +157,8 @@ def pointer_violations(spark, d):
 def _store(spark, d):
     """Artifacts and chunks that are kept, all chunks, and what is stored."""
     arts, chunks = _docs(spark, d)
-    kept = A.kept_ids(spark, d)
-    return arts.join(kept, "artifact_id", "left_semi"), chunks.join(kept, "artifact_id", "left_semi"), chunks, A.representations(chunks)
+    kept, chunks = A.kept_ids(spark, d), lineage.cut(chunks)
+    return arts.join(kept, "artifact_id", "left_semi"), lineage.cut(chunks.join(kept, "artifact_id", "left_semi")), chunks, lineage.cut(A.representations(chunks))
 
 
 @query

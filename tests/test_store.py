@@ -51,19 +51,28 @@ def test_manifests_are_saved_scanned_and_checked(spark, root, tmp_path):
     with pytest.raises(Exception):  # noqa: B017
         manifests.scan(spark, root).collect()
     out = str(tmp_path / "saved")
-    manifests.save(m, out)
-    assert "lineage" not in json.loads(spark.read.text(out).first()[0])
+    arts, chunks, _ = ingest.raw(files(spark, {f"f{k}": bytes([k]) * (k + 1) for k in range(9)}), 4)
+    many = ingest.manifests(arts, chunks).coalesce(1)
+    assert manifests.save(many, out) == 9
+    assert manifests.save(many.limit(3).withColumn("source_name", F.lit("new")), out) == 3
+    got = manifests.scan(spark, out)
+    assert got.count() == 9 and got.where("source_name = 'new'").count() == 3
+    assert "lineage" not in json.loads(spark.read.text(f"{out}/manifests").first()[0])
+    with pytest.raises(ValueError, match="version"):
+        manifests.save(many.withColumn("version", F.lit(2)), out)
 
 
 def test_pointers(spark, tmp_path):
-    for name in ("b/two.mvptr", "one.mvptr", ".git/hidden.mvptr"):
-        (tmp_path / name).parent.mkdir(exist_ok=True)
-        (tmp_path / name).write_text(json.dumps({"version": 1, "artifact_id": "a" * 64, "logical_size": 3}))
-    found = manifests.pointers(spark, str(tmp_path))
-    assert [r.pointer.split("/")[-1] for r in found.collect()] == ["two.mvptr", "one.mvptr"]
+    root = tmp_path / ".hid"
+    root.mkdir()
+    for name in ("b/two.MVPTR", "one.mvptr", ".git/hidden.mvptr"):
+        (root / name).parent.mkdir(exist_ok=True)
+        (root / name).write_text(json.dumps({"version": 1, "artifact_id": "a" * 64, "logical_size": 3}))
+    found = manifests.pointers(spark, str(root))
+    assert [r.pointer for r in found.collect()] == ["b/two.MVPTR", "one.mvptr"]
     assert [r.more for r in manifests.advice(found, 1).collect()] == [1]
     with pytest.raises(ValueError):
-        manifests.pointers(spark, str(tmp_path), 1)
+        manifests.pointers(spark, str(root), 1)
 
 
 def test_raw_files_and_hub_cache(spark, tmp_path):
