@@ -9,8 +9,6 @@ A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, which is the pat
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chunkloom.deploy import shared_dir
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 SPACE = np.zeros(256, dtype=bool)
@@ -193,10 +193,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of this machine only where the cluster names none (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "chunkloom")
-    return at.rstrip("/")
+def named(columns: list[str]) -> list[F.Column]:
+    """Columns by their exact names, which may hold dots."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def keyed(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with a long key of each row: doc_id where each row has its own, else numbers in the order of the rows.
+
+    Rows order by doc_id (null first), a hash of the text, then the text.
+    """
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return docs.withColumn(key, F.col("doc_id").cast("long"))
+    ordered = docs.orderBy(F.col("doc_id").cast("long").asc_nulls_first(), F.xxhash64("text"), "text")
+    return staged(ordered.withColumn(key, F.monotonically_increasing_id()), "keyed")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -3,7 +3,8 @@
 The likelihood of a page's text comes from hashed byte trigrams, counted by language over all labelled documents. It is
 multiplied with the likelihoods of the page's declared markup language and of its address suffix, both estimated by
 grouped sums of text posteriors, and with the prior of the page's host: the host's own sums, smoothed towards those of
-its domain, which are smoothed towards all pages. A page's own share is taken out of its host's and domain's sums.
+its domain, which are smoothed towards all pages. A page's own posterior is taken out of all these sums, so that its
+text does not count twice.
 
 Driver and tasks hold one table of languages x ``BUCKETS`` numbers; more than ``MAX_LANGUAGES`` labels are an error.
 
@@ -28,7 +29,9 @@ from chunkloom.llm.common import Block, blocks, lowered, read, staged
 BUCKETS, MAX_LANGUAGES = 1 << 14, 200
 #: A text counts as at most so many independent trigrams; pseudo-counts of trigrams, declarations and priors.
 EVIDENCE, SMOOTH, PSEUDO, TRUST = 60.0, 0.5, 1.0, 8.0
-_BOILERPLATE = re.compile(r"(?is)<(script|style|nav|header|footer|aside)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+_SECTIONS = ("script", "style", "nav", "header", "footer", "aside")
+_SECTION = re.compile(rf"(?i)<({'|'.join(_SECTIONS)})\b")
+_CLOSING = {name: re.compile(rf"(?i)</{name}\s*>") for name in _SECTIONS}
 
 
 def trigrams(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +80,36 @@ def likelihoods(counts: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def visible(source: str | None) -> str:
-    return html.unescape(_BOILERPLATE.sub(" ", source or ""))
+    """The text outside of tags, comments and sections of scripts and navigation, in one pass.
+
+    What is opened and never closed is an ordinary tag, or text if no tag ends after it. Once a closing mark is not found
+    it is not looked for again, so that the time is that of the page's length whatever it holds.
+    """
+    page, at, out = source or "", 0, []
+    missing: set[str] = set()
+
+    def after(mark: str, start: int) -> int:
+        if mark in missing:
+            return -1
+        found = _CLOSING[mark].search(page, start) if mark in _CLOSING else None
+        end = found.end() if found else page.find(mark, start) + len(mark) if mark not in _CLOSING and page.find(mark, start) >= 0 else -1
+        if end < 0:
+            missing.add(mark)
+        return end
+
+    while True:
+        begin = page.find("<", at)
+        if begin < 0:
+            break
+        section = _SECTION.match(page, begin)
+        end = after(section.group(1).lower(), begin) if section else after("-->", begin + 4) if page.startswith("<!--", begin) else -1
+        end = after(">", begin) if end < 0 else end
+        if end < 0:
+            break
+        out += [page[at:begin], " "]
+        at = end
+    out.append(page[at:])
+    return html.unescape("".join(out))
 
 
 def text_evidence(pages: DataFrame, table: np.ndarray) -> DataFrame:
@@ -106,7 +138,8 @@ def address(url: Column) -> dict[str, Column]:
 
 
 def declared(source: Column) -> Column:
-    lang = F.regexp_extract(source, r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]+)", 1)
+    tag = F.regexp_extract(source, r"(?i)<html\b([^>]*)", 1)  # apart, so that each pattern matches at its first try
+    lang = F.regexp_extract(tag, r"(?i)\slang\s*=\s*[\"']?([a-z]+)", 1)
     return F.coalesce(F.nullif(F.lower(lang), F.lit("")), F.lit("-"))
 
 
@@ -137,7 +170,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     less = lambda k: [F.greatest(col(k, i) - F.col("p")[i], F.lit(0.0)) for i in span]
     domain = _normal([a + TRUST * b for a, b in zip(less("domain"), every, strict=True)])
     prior = _normal([a + TRUST * b for a, b in zip(less("host_domain"), domain, strict=True)])
-    clue = lambda k, i: (col(k, i) + PSEUDO) / (col("all", i) + PSEUDO * 10)
+    clue = lambda k, i: (less(k)[i] + PSEUDO) / (less("all")[i] + PSEUDO * 10)
     fused = [F.col("logs")[i] + F.log(prior[i]) + F.log(clue("declared", i)) + F.log(clue("suffix", i)) for i in span]
     best = lambda values: F.array_max(F.array(*(F.struct(v.alias("v"), F.lit(-i).alias("i")) for i, v in enumerate(values))))
     lang = lambda of: F.element_at(F.array(*map(F.lit, names)), 1 - of["i"])

@@ -56,8 +56,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
 def _planned(sized: DataFrame, weights: tuple[float, ...], share: float, cap: float, seed: int) -> DataFrame:
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     goal = goal.withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(cap))).otherwise(0.0))
-    goal = goal.withColumnRenamed("source", "_source")
-    joined = sized.join(goal, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    own = [F.col("d." + "`" + c.replace("`", "``") + "`") for c in sized.columns]
+    joined = sized.alias("d").join(goal.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")), "left").select(*own, "g.source_size", "g.target", "g.rate")
     whole = F.floor("rate")
     return joined.withColumn("copies", whole + (uniform("doc_id", seed) < F.col("rate") - whole).cast("long"))
 

@@ -4,7 +4,8 @@ Every feature of a text is cut into bins; cyclic boosting fits shallow trees to
 another, and adds each tree's leaves to that feature's lookup table. Pairs of features are then boosted on coarse grids
 in the same way. Scoring looks the bins up and adds: no tree remains.
 
-The model is fitted on at most ``MAX_ROWS`` labelled rows, the first in the order of a hash of doc_id.
+The model is fitted on at most ``MAX_ROWS`` labelled documents, the first in the order of a hash of doc_id; of rows that
+share a labelled id, one is learned from, the one with the least features.
 
 Defined results: null and empty texts have the features of an empty text and get a score like any other; without
 labels of both kinds the score is the share of label 1 (0.5 without any label); repeated label rows of one document
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import blocks, crc_bucket, read
+from chunkloom.llm.common import blocks, crc_bucket, named, read
 from chunkloom.llm.text_stats import FEATURES, features
 
 MAX_ROWS = 20_000
@@ -141,21 +142,22 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Addit
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("label"))
     sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    pdf = _with_features(rows, "label").limit(2 * max_rows).toPandas().sort_values(["doc_id", *FEATURES])
+    once = _with_features(rows, "label").groupBy("doc_id", "label").agg(F.min(F.struct(*FEATURES)).alias("x")).select("doc_id", "label", "x.*")
+    pdf = once.toPandas().sort_values("doc_id")
     return fit(pdf[list(FEATURES)].to_numpy(np.float64), pdf["label"].to_numpy(np.float64))
 
 
 def score(docs: DataFrame, model: Additive) -> DataFrame:
     """All columns of ``docs`` and ``quality_score`` (replaced if there)."""
-    rest = [c for c in docs.columns if c not in ("quality_score",)]
-    at = rest.index("text")
+    rest = [c for c in docs.columns if c != "quality_score"]
+    plain = ["text" if c == "text" else f"_{i}" for i, c in enumerate(rest)]  # Spark's functions over batches do not take dots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, rest[at]):
-            yield pa.RecordBatch.from_arrays([*b.rows.columns, pa.array(model.score(features(b)))], names=[*rest, "quality_score"])
+        for b in blocks(batches):
+            yield pa.RecordBatch.from_arrays([*b.rows.columns, pa.array(model.score(features(b)))], names=[*plain, "quality_score"])
 
-    schema = docs.select(*rest).schema.add("quality_score", "double")
-    return docs.select(*rest).mapInArrow(run, schema)
+    rows = docs.select(*(c.alias(p) for c, p in zip(named(rest), plain, strict=True)))
+    return rows.mapInArrow(run, rows.schema.add("quality_score", "double")).toDF(*rest, "quality_score")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

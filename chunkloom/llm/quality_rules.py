@@ -1,16 +1,20 @@
 """Quality rules with risk-controlled thresholds.
 
-A base rule rejects short and repetitive texts. Beyond it, each rule compares one ratio of the text with a cutoff;
-the cutoff of a rule in a stratum is the strictest one of a fixed sequence, tested from lenient to strict on the
-labelled good documents of the stratum, for which an exact binomial (Clopper-Pearson) test still certifies that it
-rejects at most ``alpha / rules`` of the stratum's good documents. Testing stops at the first failure (fixed-sequence
-testing needs no correction over cutoffs); over rules and strata the level ``delta`` is divided (Bonferroni), so that
-with probability 1 - delta no stratum loses more than ``alpha`` of its good documents to all rules together.
-
-Defined results: a null text is an empty one (base_failed); a null language is a stratum of its own; a stratum with too
-few labels to certify anything has no cutoff and keeps whatever passes the base rule; repeated label rows of one
-document count once, with the lowest mark; rows of the input are kept as they are, repeats included; other columns are
-ignored, whatever their names.
+A base rule rejects short and repetitive texts. Beyond it, each of six rules compares one ratio of the text with a
+cutoff. The cutoffs of all rules move together along one sequence of settings, from lenient to strict: at a setting of
+tail share q, a rule's cutoff is exceeded by at most a share q of the stratum's unlabelled texts (``SHARES``; taken from
+counts over fine bins, so labels have no part in it). Along the sequence, the labelled good documents of the stratum are
+held out: an exact binomial (Clopper-Pearson) test has to certify that all rules together reject at most ``alpha`` of
+them. The last setting before the first failure is used (fixed-sequence testing needs no correction over settings); over
+strata the level ``delta`` is divided (Bonferroni). With probability 1 - delta, no stratum then loses more than
+``alpha`` of its good documents, counted among those that pass the base rule.
+
+Strata (languages) with too few good labels to certify anything are pooled: they share one calibration, and the
+guarantee holds for the pool. If even the pool has too few, it has no cutoffs.
+
+Defined results: a null text is an empty one (base_failed); a null language is a stratum of its own; without certified
+cutoffs whatever passes the base rule is kept; repeated label rows of one document count once, with the lowest mark;
+rows of the input are kept as they are, repeats included; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,16 +24,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.llm.common import blocks, read, staged
 from chunkloom.llm.text_stats import COUNTS, stats
 
 RULES = ("symbols_per_word", "upper_share", "bang_per_word", "dup_line_share", "repeat_share", "top_word_share")
-#: Tested in this order: a text is rejected if its ratio is above the cutoff.
-CUTOFFS = tuple(round(float(x), 4) for x in np.geomspace(2.0, 0.02, 28))
+#: Tail shares of the settings, tested in this order: a text is rejected if a ratio of it is above the rule's cutoff.
+SHARES = (0.0, *(round(float(x), 5) for x in np.geomspace(0.002, 0.5, 24)))
 ALPHA, DELTA = 0.05, 0.05
+#: Ratios are counted in this many bins of equal logarithmic width between LEAST and MOST.
+BINS, LEAST, MOST = 400, 1e-3, 10.0
+EDGES = tuple(round(LEAST * (MOST / LEAST) ** (k / BINS), 9) for k in range(BINS + 1))
+BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
+POOLED = "pooled"
 
 
 def text_counts(docs: DataFrame) -> DataFrame:
@@ -63,25 +72,67 @@ def strictest(rejected: np.ndarray, n: int, alpha: float, delta: float) -> int:
     return len(rejected)
 
 
+def least_good(alpha: float, delta: float) -> int:
+    """How many good labels it takes to certify a setting that rejects none of them."""
+    return int(np.ceil(np.log(delta) / np.log1p(-alpha)))
+
+
+def bin_of(ratio: Column) -> Column:
+    """The bin of a ratio: cutoff EDGES[k] is exceeded by the ratios of bin k + 1 and on."""
+    place = F.ceil(F.log(ratio / LEAST) / float(np.log(MOST / LEAST) / BINS) - 1e-9)
+    return F.when(ratio > LEAST, F.least(place, F.lit(BINS + 1))).otherwise(0).cast("int")
+
+
+def settings(bins: pd.DataFrame) -> list[list[int]]:
+    """For each share of SHARES, the edge of each rule's cutoff. bins: rule, bin, n of unlabelled texts."""
+    out = []
+    for r in RULES:
+        per = bins[bins["rule"] == r]
+        by = np.bincount(per["bin"].to_numpy(np.int64), weights=per["n"].to_numpy(), minlength=BINS + 2)
+        above = by.sum() - np.cumsum(by)  # texts above the cutoff of each edge
+        out.append([int(np.argmax(above[: BINS + 1] <= q * by.sum())) if above[BINS] <= q * by.sum() else BINS for q in SHARES])
+    return [list(x) for x in zip(*out, strict=True)]
+
+
 def cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """stratum, and for each rule the certified cutoff (null: none)."""
-    good = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    grid = F.array(*(F.lit(c) for c in CUTOFFS))
-    level = lambda r: F.size(F.filter(grid, lambda c: c >= F.col(r)))  # noqa: E731  the first cutoff that rejects
-    found = counts.join(good, "doc_id", "left_semi").select("stratum", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), level(r).alias("level")) for r in RULES))).alias("x"))
-    found = staged(found.groupBy("stratum", "x.rule", "x.level").agg(F.count("*").alias("n")), "levels")
-    strata = max(1, found.select("stratum").distinct().count())
+    """stratum, part (the stratum or POOLED), good, setting (how many of SHARES hold) and each rule's certified edge (null: none)."""
+    named = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"))
+    marked = counts.where(~F.expr(BASE_FAILED)).join(named, "doc_id", "left")
+    binned = marked.select("stratum", "q", F.array(*(bin_of(F.col(r)) for r in RULES)).alias("bins"))
+    good = staged(binned.where("q = 1").groupBy("stratum", "bins").agg(F.count("*").alias("n")), "good")
+    each = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col("bins")[i].alias("bin")) for i, r in enumerate(RULES))))
+    tails = binned.where("q is null").select("stratum", each.alias("x")).groupBy("stratum", "x.rule", "x.bin").agg(F.count("*").alias("n"))
+    strata = counts.select("stratum").distinct()
+    enough = good.groupBy("stratum").agg(F.sum("n").alias("good"))
+    strata = strata.alias("s").join(enough.alias("g"), F.col("s.stratum").eqNullSafe(F.col("g.stratum")), "left").select("s.stratum", F.coalesce("good", F.lit(0)).cast("long").alias("good"))
+    parts = staged(strata, "strata")
+    level = delta / (parts.count() + 1)
+    least = least_good(alpha, level)
+    own = F.col("good") >= least
+    parts = parts.select("stratum", F.struct(own.alias("own"), F.when(own, F.col("stratum")).alias("name")).alias("part"))
+
+    def of_parts(rows: DataFrame, *names: str) -> DataFrame:
+        return rows.alias("r").join(parts.alias("p"), F.col("r.stratum").eqNullSafe(F.col("p.stratum"))).select("p.part", *(f"r.{n}" for n in names))
+
+    empty = F.array().cast("array<int>")
+    both = of_parts(good, "bins", "n").groupBy("part", "bins").agg(F.sum("n").alias("n")).select("part", "bins", F.lit("").alias("rule"), F.lit(0).alias("bin"), "n")
+    both = both.unionByName(of_parts(tails, "rule", "bin", "n").groupBy("part", "rule", "bin").agg(F.sum("n").alias("n")).select("part", empty.alias("bins"), "rule", "bin", "n"))
 
     def certify(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = {"stratum": pdf["stratum"].iloc[0]}
-        for r in RULES:
-            per = pdf[pdf["rule"] == r]
-            by = np.bincount(per["level"].to_numpy(np.int64), weights=per["n"].to_numpy(), minlength=len(CUTOFFS) + 1)
-            j = strictest(np.cumsum(by)[: len(CUTOFFS)].astype(np.int64), int(by.sum()), alpha / len(RULES), delta / (strata * len(RULES)))
-            row[f"max_{r}"] = CUTOFFS[j - 1] if j else None
-        return pd.DataFrame([row]).astype({f"max_{r}": "float64" for r in RULES})
-
-    return found.groupBy("stratum").applyInPandas(certify, "stratum string, " + ", ".join(f"max_{r} double" for r in RULES))
+        held, tail = pdf[pdf["rule"] == ""], pdf[pdf["rule"] != ""]
+        row = {"own": bool(pdf["part"].iloc[0]["own"]), "name": pdf["part"].iloc[0]["name"], "setting": 0, "edges": None}
+        if len(held) and len(tail):
+            found = settings(tail)
+            bins, n = np.stack(held["bins"].to_numpy()), held["n"].to_numpy()
+            rejected = np.array([n[(bins > np.array(edge)).any(1)].sum() for edge in found])
+            row["setting"] = strictest(rejected, int(n.sum()), alpha, level)
+            row["edges"] = found[row["setting"] - 1] if row["setting"] else None
+        return pd.DataFrame([row], columns=["own", "name", "setting", "edges"])
+
+    made = both.groupBy("part").applyInPandas(certify, "own boolean, name string, setting int, edges array<int>")
+    made = made.select(F.struct("own", "name").alias("part"), "setting", "edges")
+    joined = parts.alias("p").join(made.alias("m"), (F.col("p.part.own") == F.col("m.part.own")) & F.col("p.part.name").eqNullSafe(F.col("m.part.name")), "left")
+    return joined.select("p.stratum", F.when(F.col("p.part.own"), F.col("p.stratum")).otherwise(POOLED).alias("part"), F.coalesce("setting", F.lit(0)).alias("setting"), *(F.col("edges")[i].alias(f"max_{r}") for i, r in enumerate(RULES)))
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -89,9 +140,8 @@ def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     counts = staged(text_counts(docs), "text-counts")
     limits = staged(cutoffs(counts, labels, alpha, delta), "cutoffs")
     joined = counts.alias("c").join(limits.alias("l"), F.col("c.stratum").eqNullSafe(F.col("l.stratum")), "left").drop(F.col("l.stratum"))
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    broken = F.array_compact(F.array(*(F.when(F.col(r) > F.col(f"max_{r}"), F.lit(r)) for r in RULES)))
-    return joined.withColumn("base_failed", base).withColumn("broken", broken).withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
+    broken = F.array_compact(F.array(*(F.when(bin_of(F.col(r)) > F.col(f"max_{r}"), F.lit(r)) for r in RULES)))
+    return joined.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("broken", broken).withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

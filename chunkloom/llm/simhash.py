@@ -1,10 +1,11 @@
 """Near duplicates by SimHash fingerprints and BK-trees.
 
-Texts with one fingerprint are one vertex, so copies cost nothing after the fingerprint. Fingerprints are dealt to
-shards by the pigeonhole rule: of three blocks of bits, two fingerprints that differ in two bits or fewer agree in one.
-A shard is built as a BK-tree (children keyed by their Hamming distance to the parent) in the task that holds it, and
-each of its members follows only the edges within the radius. The shard's own queries are the only ones that can match
-its tree, so trees are brought together with them by the shard key rather than broadcast to all tasks. A shard above
+Texts with one fingerprint are one vertex, so copies cost nothing after the fingerprint. Distinct fingerprints are dealt
+to shards of about ``TREE`` members: of three blocks of bits, two fingerprints that differ in two bits or fewer agree in
+one, so that a shard takes as its key as many bits of one block as the number of fingerprints asks for. A shard becomes a
+BK-tree (children keyed by their Hamming distance to the parent) in the task that holds it, and all of its members follow
+only the edges within the radius. Shards meet their queries by the shard key; they are not broadcast to all tasks, as
+only a shard's own members can match its tree and what is broadcast would grow with the data. A shard above
 ``SHARD_LIMIT`` members is dealt again by three blocks of its remaining bits, which after four rounds bounds every tree
 by 2**14 members whatever the data. A shard reports a spanning forest of its links; star contraction joins the forests.
 
@@ -27,7 +28,7 @@ from chunkloom.llm.common import partitions_of, read, staged
 from chunkloom.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
-SHARD_LIMIT = 4096
+TREE, SHARD_LIMIT = 1024, 4096
 ALL = (1 << 64) - 1
 
 
@@ -59,54 +60,64 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, seed: int = SEED) -> DataFra
 
 
 class BKTree:
-    """Values under a root; a child hangs on the edge that is its Hamming distance to the parent."""
-
-    def __init__(self) -> None:
-        self.values: list[int] = []
-        self.edges: list[dict[int, int]] = []
-
-    def add(self, value: int) -> None:
-        at = 0
-        self.values.append(value)
-        self.edges.append({})
-        while len(self.values) > 1:
-            d = (self.values[at] ^ value).bit_count()
-            to = self.edges[at].get(d)
-            if to is None:
-                self.edges[at][d] = len(self.values) - 1
-                return
-            at = to
-
-    def within(self, value: int, radius: int) -> list[int]:
-        """Positions of the values within the radius."""
-        found, stack = [], [0] if self.values else []
-        while stack:
-            at = stack.pop()
-            d = (self.values[at] ^ value).bit_count()
-            if d <= radius:
-                found.append(at)
-            stack += [to for e, to in self.edges[at].items() if d - radius <= e <= d + radius]
-        return found
-
-
-def forest(members: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links that join all members whose chains of links join them, one fewer than the members of each group."""
-    tree, up, out = BKTree(), list(range(len(members))), []
-
-    def top(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    for i, value in enumerate(members):
-        for j in tree.within(value, radius):
-            a, b = top(i), top(j)
-            if a != b:
-                up[a] = b
-                out.append((value, members[j]))
-        tree.add(value)
-    return out
+    """Values under a root, the first; a child hangs on the edge that is its Hamming distance to the parent.
+
+    ``child[node, distance]`` is the child on that edge, or -1. Inserting one value after another gives the same tree as
+    here, where all values walk down together, level by level.
+    """
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values = values
+        self.child = np.full((len(values), 65), -1, np.int32)
+        at, rest = np.zeros(len(values), np.int64), np.arange(1, len(values))
+        while len(rest):
+            edge = at[rest] * 65 + np.bitwise_count(values[rest] ^ values[at[rest]])
+            keys, first, which = np.unique(edge, return_index=True, return_inverse=True)
+            self.child.reshape(-1)[keys] = rest[first]
+            at[rest] = rest[first][which]
+            rest = rest[at[rest] != rest]
+
+    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Pairs of places (query, value) within the radius, and how many nodes were visited."""
+        q, node, visited = np.arange(len(queries)), np.zeros(len(queries), np.int64), 0
+        found = []
+        while len(q) and len(self.values):
+            visited += len(q)
+            d = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int64)
+            near = d <= radius
+            found.append(np.stack([q[near], node[near]]))
+            edges = d[:, None] + np.arange(-radius, radius + 1)
+            kids = np.where((edges >= 0) & (edges <= 64), self.child[node[:, None], np.clip(edges, 0, 64)], -1)
+            row, at = np.nonzero(kids >= 0)
+            q, node = q[row], kids[row, at].astype(np.int64)
+        both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        return both[0], both[1], visited
+
+
+def forest(members: np.ndarray, radius: int) -> np.ndarray:
+    """Links (member, the first member of its group) that join all members whose chains of links join them."""
+    tree, label = BKTree(members), np.arange(len(members))
+    for lo in range(0, len(members), 1024):
+        i, j, _ = tree.within(members[lo : lo + 1024], radius)
+        i = i + lo
+        while True:
+            a, b = label[i], label[j]
+            i, j = i[a != b], j[a != b]
+            if len(i) == 0:
+                break
+            a, b = label[i], label[j]
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(label, label[label]):
+                label = label[label]
+    out = np.flatnonzero(label != np.arange(len(members)))
+    return np.stack([members[out], members[label[out]]], axis=1)
+
+
+def first_masks(n: int, parts: int) -> list[int]:
+    """The bits that key the shards of n fingerprints: of each of ``parts`` blocks, as many as make shards of about TREE members."""
+    bits = max(0, -(-n // TREE) - 1).bit_length()
+    cuts = [64 * i // parts for i in range(parts + 1)]
+    return [sum(1 << b for b in range(lo, min(hi, lo + bits))) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)] if bits else [0]
 
 
 def submasks(mask: int, parts: int) -> list[int]:
@@ -121,15 +132,15 @@ def _signed(x: int) -> int:
 
 
 def shards(marks: DataFrame, radius: int = RADIUS, limit: int = SHARD_LIMIT) -> DataFrame:
-    """fp -> (mask, key, fp): each fingerprint in every shard it belongs to; no shard is larger than max(limit, 2**14)."""
+    """(mask, key, fp): each fingerprint in every shard it belongs to; no shard is larger than max(limit, 2**14)."""
     parts = radius + 1
-    level = [0]
+    below = {0: first_masks(marks.count(), parts)}
     now = marks.select(F.lit(0).cast("long").alias("mask"), "fp")
     done = None
     while True:
-        table = F.create_map(*(x for m in level for x in (F.lit(_signed(m)), F.array(*(F.lit(_signed(s)).cast("long") for s in submasks(m, parts))))))
+        table = F.create_map(*(x for m, to in below.items() for x in (F.lit(_signed(m)), F.array(*(F.lit(_signed(s)).cast("long") for s in to)))))
         dealt = now.select(F.explode(table[F.col("mask")]).alias("mask"), "fp").withColumn("key", F.col("mask").bitwiseAND(F.col("fp")))
-        level = sorted({s for m in level for s in submasks(m, parts)})
+        level = sorted({s for to in below.values() for s in to})
         if min(64 - m.bit_count() for m in level) <= 14 or len(level) >= parts**4:
             return dealt if done is None else done.unionByName(dealt)
         hot = staged(dealt.groupBy("mask", "key").count().where(F.col("count") > limit).select("mask", "key"), "hot-shards")
@@ -138,6 +149,7 @@ def shards(marks: DataFrame, radius: int = RADIUS, limit: int = SHARD_LIMIT) ->
         cool = dealt.join(hot, ["mask", "key"], "left_anti")
         done = cool if done is None else done.unionByName(cool)
         now = dealt.join(hot, ["mask", "key"], "left_semi").select("mask", "fp")
+        below = {m: submasks(m, parts) for m in level}
 
 
 def links(marks: DataFrame, radius: int = RADIUS, limit: int = SHARD_LIMIT) -> DataFrame:
@@ -146,32 +158,29 @@ def links(marks: DataFrame, radius: int = RADIUS, limit: int = SHARD_LIMIT) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members = None, []
 
-        def flush() -> list[tuple[int, int]]:
-            return forest(members, radius) if len(members) > 1 else []
+        def flush() -> np.ndarray:
+            whole = np.concatenate(members) if members else np.zeros(0, np.uint64)
+            return forest(whole, radius) if len(whole) > 1 else np.zeros((0, 2), np.uint64)
 
         for rows in batches:
-            out: list[tuple[int, int]] = []
+            out = []
             mask, value, fp = (rows.column(k).to_numpy() for k in range(3))
             new = np.flatnonzero(np.concatenate([[True], (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])])) if len(fp) else []
             for lo, hi in zip(new, [*new[1:], len(fp)], strict=True):
-                if hi - lo == 1 and key != (mask[lo], value[lo]) and hi < len(fp):  # most shards have one member
-                    out += flush()
-                    key, members = None, []
-                    continue
                 if key != (mask[lo], value[lo]):
-                    out += flush()
+                    out.append(flush())
                     key, members = (mask[lo], value[lo]), []
-                members += fp[lo:hi].view(np.uint64).tolist()
+                members.append(fp[lo:hi].view(np.uint64))
             yield _edges(out)
-        yield _edges(flush())
+        yield _edges([flush()])
 
     dealt = shards(marks, radius, limit)
     together = dealt.repartition(partitions_of(marks.sparkSession), "mask", "key").sortWithinPartitions("mask", "key", "fp")
     return together.select("mask", "key", "fp").mapInArrow(run, "u long, v long")
 
 
-def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    both = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
+def _edges(pairs: list[np.ndarray]) -> pa.RecordBatch:
+    both = np.concatenate([*pairs, np.zeros((0, 2), np.uint64)]).view(np.int64)
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
 
 

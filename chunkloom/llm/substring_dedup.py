@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import Block, blocks, gather_spans, per_doc, read, release, span_hashes, staged, window_hashes, window_places, words
+from chunkloom.llm.common import Block, blocks, gather_spans, keyed, named, per_doc, read, release, span_hashes, staged, window_hashes, window_places, words
 
 WINDOW = 20
 #: Text whose windows make one bucket, and text that one task cuts.
@@ -47,8 +47,13 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def home_of(ids: np.ndarray, n: int) -> np.ndarray:
-    """The group of a document id, the same in Python and in Spark (home_column)."""
-    return np.mod(ids, n).astype(np.int32)
+    """The group of a row key, the same in Python and in Spark (home_column); keys in even steps spread too."""
+    return (np.mod(ids, 2147483647).astype(np.uint64) * np.uint64(2654435761) % np.uint64(4294967291) % np.uint64(n)).astype(np.int32)
+
+
+def home_column(key: str, n: int) -> F.Column:
+    part = F.pmod(F.col(key), F.lit(2147483647).cast("long")) * F.lit(2654435761)
+    return F.pmod(F.pmod(part, F.lit(4294967291)), F.lit(n).cast("long")).cast("int")
 
 
 def _packed(ids: np.ndarray, places: np.ndarray) -> list[bytes]:
@@ -156,10 +161,10 @@ def repeated_windows(docs: DataFrame, k: int, buckets: int, homes: int) -> DataF
     return sent.groupBy("bucket").applyInArrow(count, "home int, ids binary, places binary")
 
 
-def cut(b: Block, ids: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def cut(b: Block, ids: np.ndarray, places: np.ndarray, k: int, key: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Word counts, removed words and the kept text (words joined by a space) of each document. ids and places are sorted."""
     w = words(b)
-    own = b.rows.column(b.rows.schema.get_field_index("_key")).fill_null(NO_ID).to_numpy()
+    own = b.rows.column(b.rows.schema.get_field_index(key)).fill_null(NO_ID).to_numpy()
     lo, hi = np.searchsorted(ids, own), np.searchsorted(ids, own, side="right")
     doc = np.repeat(np.arange(len(own)), hi - lo)
     at = places[gather_spans(hi - lo, lo)]
@@ -180,14 +185,6 @@ def cut(b: Block, ids: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarr
     return w.counts, removed, [raw[a : max(a, z - 1)] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key of each row: doc_id where each id is one row's, else numbers in the order of the rows."""
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.withColumn("_key", F.col("doc_id").cast("long"))
-    ordered = docs.orderBy(F.col("doc_id").cast("long").asc_nulls_first(), F.xxhash64("text"), "text")
-    return staged(ordered.withColumn("_key", F.monotonically_increasing_id()), "keyed")
-
-
 def remove_repeats(docs: DataFrame, k: int = WINDOW, digest_only: bool = False) -> DataFrame:
     """``docs`` with n_words, n_removed and either the kept text in the place of text, or only its SHA-256.
 
@@ -197,11 +194,17 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, digest_only: bool = False)
     size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     n = max(1, -(-size // HOME_BYTES))
     names = ["doc_id"] if digest_only else [c for c in docs.columns if c not in ("text", "n_words", "n_removed")]
-    docs = keyed(docs.select(*names, "text"))
-    found = staged(repeated_windows(docs.select(F.col("_key").alias("doc_id"), "text"), k, max(1, -(-size // BUCKET_BYTES)), n), "repeats")
+    key, home = "_key", "_home"
+    if digest_only:
+        plain = names
+        docs = keyed(docs.select("doc_id", "text"), key)
+    else:  # positions for names: Spark's grouped functions do not take dots
+        plain = ["doc_id" if c == "doc_id" else f"_{i}" for i, c in enumerate(names)]
+        docs = keyed(docs.select(*(c.alias(p) for c, p in zip(named(names), plain, strict=True)), "text"), key)
+    final, names = names, plain
+    found = staged(repeated_windows(docs.select(F.col(key).alias("doc_id"), "text"), k, max(1, -(-size // BUCKET_BYTES)), n), "repeats")
     release(spark)
-    schema = docs.select(*names)
-    sql = ", ".join([*(f"`{c}` {t}" for c, t in schema.dtypes), "n_words long, n_removed long", "kept_sha256 string" if digest_only else "text string"])
+    sql = ", ".join([*(f"{c} {t}" for c, t in docs.select(*names).dtypes), "n_words long, n_removed long", "kept_sha256 string" if digest_only else "text string"])
     kinds = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256" if digest_only else "text", pa.string())]
 
     def finish(mine: pa.Table, gone: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -210,7 +213,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, digest_only: bool = False)
         order = np.lexsort((places, ids))
         ids, places = ids[order], places[order]
         for b in blocks(iter(mine.combine_chunks().to_batches())):
-            counts, removed, kept = cut(b, ids, places, k)
+            counts, removed, kept = cut(b, ids, places, k, key)
             if digest_only:
                 last = pa.array([hashlib.sha256(x).hexdigest() for x in kept])
             else:
@@ -226,9 +229,8 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, digest_only: bool = False)
         fields = [mine.schema.field(c) for c in names] if mine.num_columns else []
         return pa.Table.from_batches([], schema=pa.schema([*fields, *kinds]))
 
-    home = F.pmod(F.coalesce("_key", F.lit(NO_ID)), F.lit(n).cast("long")).cast("int")
-    left = docs.select(*names, "_key", "text").withColumn("_home", home).groupBy("_home")
-    return left.cogroup(found.groupBy("home")).applyInArrow(run, sql)
+    left = docs.select(*names, key, "text").withColumn(home, home_column(key, n)).groupBy(home)
+    return left.cogroup(found.groupBy("home")).applyInArrow(run, sql).toDF(*final, *(x for x, _ in kinds))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,10 +91,42 @@ def test_cutoffs_reject_junk_but_few_good_documents(spark):
     rng = random.Random(3)
     clean = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(900)) for _ in range(80)) for _ in range(1200)]
     junk = [" ".join(f"{w}***" for w in t.split()) for t in clean[:100]]
-    docs = table(spark, clean + junk).withColumn("lang", F.lit("en"))
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(1200)] + [(i, 0, 0) for i in range(1200, 1300)] + [(5, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    plain = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(900)) for _ in range(80)) for _ in range(900)]
+    docs = table(spark, clean + plain + junk).withColumn("lang", F.lit("en"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1200)] + [(2100, 0, 0), (5, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     kept = {r.doc_id: r.kept for r in quality_rules.apply_rules(docs, labels).collect()}
-    assert sum(not kept[i] for i in range(1200)) <= 0.05 * 1200 and not any(kept[i] for i in range(1200, 1300))
+    assert sum(not kept[i] for i in range(1200)) <= 0.05 * 1200 and not any(kept[i] for i in range(2100, 2200))
+
+
+def test_kept_is_that_of_brute_force(spark):
+    """Settings, tests and verdicts of the query on sf0.01, computed again from its ratios."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality_rules.apply_rules(docs, labels).toPandas()
+    marks = {r.doc_id: r.quality for r in labels.collect()}
+    rows = got[~got["base_failed"]]
+    strata = sorted(got["stratum"].unique())
+    good = rows[rows["doc_id"].map(marks) == 1]
+    plain = rows[~rows["doc_id"].isin(marks)]
+    level = quality_rules.DELTA / (len(strata) + 1)
+    part = {s: s if (good["stratum"] == s).sum() >= math.log(level) / math.log(1 - quality_rules.ALPHA) else "pooled" for s in strata}
+    limit = {}
+    for p in set(part.values()):
+        mine = good[good["stratum"].map(part) == p]
+        tail = plain[plain["stratum"].map(part) == p]
+        for q in quality_rules.SHARES:
+            cut = {r: next((e for e in quality_rules.EDGES if (tail[r] > e + 1e-12).sum() <= q * len(tail)), quality_rules.EDGES[-1]) for r in quality_rules.RULES}
+            k = int(np.logical_or.reduce([mine[r] > cut[r] + 1e-12 for r in quality_rules.RULES]).sum())
+            risk = sum(math.comb(len(mine), i) * quality_rules.ALPHA**i * (1 - quality_rules.ALPHA) ** (len(mine) - i) for i in range(k + 1))
+            if k > quality_rules.ALPHA * len(mine) or risk > level:
+                break
+            limit[p] = cut
+    assert "en" in limit
+    keep = [not f and all(x[r] <= limit.get(part[x["stratum"]], {}).get(r, math.inf) + 1e-12 for r in quality_rules.RULES) for f, (_, x) in zip(got["base_failed"], got.iterrows(), strict=True)]
+    assert keep == got["kept"].tolist()
+    assert (got["kept"] < ~got["base_failed"]).sum() > 0
+    bad = rows[rows["doc_id"].map(marks) == 0]
+    assert bad["kept"].mean() < good["kept"].mean()
 
 
 # 2 Quality classifier
@@ -181,11 +213,26 @@ def test_token_counts(spark, awkward, tmp_path):
     revised = counts.withColumn("tokens", F.col("tokens") * 2)
     store.commit("b", token_counts.revisions(counts, revised))
     assert total(store) == {k: (d, 2 * n) for k, (d, n) in want.items()}
-    assert total(store.compact(str(tmp_path / "compact"))) == total(store)
+    compacted = store.compact(str(tmp_path / "compact"))
+    assert total(compacted) == total(store)
+    compacted.commit("a", token_counts.inserts(counts))  # known, though its rows are in the snapshot
+    assert total(compacted) == total(store)
+    again = compacted.compact(str(tmp_path / "again"))
+    again.commit("b", token_counts.revisions(counts, revised))
+    again.commit("new", token_counts.inserts(counts))
+    assert total(again) == {k: (2 * d, 3 * n) for k, (d, n) in want.items()}
+    half = tmp_path / "rollup" / "batch=b" / "v=9"  # a commit that broke off
+    half.mkdir()
+    (half / "part-0.parquet").write_bytes(b"torn")
+    assert total(store) == {k: (d, 2 * n) for k, (d, n) in want.items()}
     store.commit("c", token_counts.deletes(revised))
     assert total(store) == {}
     with pytest.raises(ValueError):
         store.commit("../x", counts)
+    for part in (tmp_path / "rollup" / "batch=c" / "v=1").glob("part-*"):
+        part.write_bytes(b"torn")
+    with pytest.raises(Exception):  # noqa: B017
+        store.totals().collect()
 
 
 # 5 Packing
@@ -277,10 +324,25 @@ def test_trees_find_what_a_scan_finds():
     values = [rng.getrandbits(64) for _ in range(40)]
     values += [v ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for v in values * 6]
     values = list(dict.fromkeys(values))
-    tree = simhash.BKTree()
-    for i, v in enumerate(values):
-        assert sorted(tree.within(v, 2)) == [j for j in range(i) if (values[j] ^ v).bit_count() <= 2]
-        tree.add(v)
+    values = np.array(values, np.uint64)
+    tree = simhash.BKTree(values)
+    for node, edge in zip(*np.nonzero(tree.child >= 0), strict=True):  # edges are distances to the parent
+        assert int(values[node] ^ values[tree.child[node, edge]]).bit_count() == edge
+    q, at, visited = tree.within(values, 2)
+    want = {(i, j) for i in range(len(values)) for j in range(len(values)) if int(values[i] ^ values[j]).bit_count() <= 2}
+    assert set(zip(q.tolist(), at.tolist(), strict=True)) == want and len(q) == len(want)
+    assert len(values) < visited < 0.6 * len(values) ** 2  # other edges are not followed
+    assert len(simhash.BKTree(values[:0]).within(values, 2)[0]) == 0
+
+
+def test_shards_hold_trees_of_many_members(spark):
+    rng = np.random.default_rng(3)
+    marks = rng.integers(-(1 << 63), 1 << 63, 6000)
+    df = spark.createDataFrame([(int(m),) for m in marks], "fp long")
+    sizes = [r["count"] for r in simhash.shards(df).groupBy("mask", "key").count().collect()]
+    assert sum(sizes) == 3 * 6000 and 500 < np.median(sizes) < 2 * simhash.TREE
+    few = simhash.shards(df.limit(500)).groupBy("mask", "key").count().collect()
+    assert [r["count"] for r in few] == [500]
 
 
 @pytest.mark.parametrize("limit", [1, 4096])
@@ -364,6 +426,30 @@ def test_language_evidence(spark):
     assert (out["lang"] == out["text_lang"]).mean() > 0.9 and out["posterior"].between(0, 1).all()
 
 
+def test_visible_text_takes_time_in_proportion():
+    import re
+    import time
+
+    old = re.compile(r"(?is)<(script|style|nav|header|footer|aside)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+    rng = random.Random(4)
+    marks = ["<!--", "-->", "<script>", "</script >", "<NAV x=1>", "</nav>", "<b", ">", "<", "text ", "&amp;", "</style>", "<style", "\n"]
+    for _ in range(3000):
+        page = "".join(rng.choice(marks) for _ in range(rng.randrange(12)))
+        assert language_id.visible(page) == __import__("html").unescape(old.sub(" ", page)), page
+    for mark in ("<!--", "<script>", "<script", "<", "<nav></nav", "<!-- -->"):
+        began = time.time()
+        language_id.visible(mark * (1_000_000 // len(mark)))
+        assert time.time() - began < 3, mark
+
+
+def test_languages_of_labelled_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 200")
+    held = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    pages = docs.where(held).select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://h"), F.col("doc_id") % 7, F.lit(".example.com/")).alias("url"), F.concat(F.lit("<p>"), "text", F.lit("</p>")).alias("html"))
+    got = language_id.identify(pages, docs.where(~held)).join(docs.select(F.col("doc_id").alias("page_id"), F.col("lang").alias("truth")), "page_id").toPandas()
+    assert len(got) > 300 and (got["lang"] == got["truth"]).mean() > 0.95
+
+
 def test_language_fusion_matches_a_plain_version(spark):
     docs = spark.createDataFrame([(1, "the and with from that this", "en"), (2, "der und mit von das nicht", "de"), (3, None, "en"), (4, "x", None)], "doc_id long, text string, lang string")
     html = lambda body, lang="": f"<html lang='{lang}'><nav>the with</nav><p>{body}</p><script>und</script></html>" if lang else f"<p>{body}</p>"
@@ -392,13 +478,46 @@ def test_language_fusion_matches_a_plain_version(spark):
         prior = norm(np.maximum(mass(1, host) - p, 0) + language_id.TRUST * of_domain)
         fused = logs + np.log(prior)
         for k, v in ((4, declared), (3, suffix)):
-            fused = fused + np.log((mass(k, v) + language_id.PSEUDO) / (every + 10 * language_id.PSEUDO))
+            fused = fused + np.log((np.maximum(mass(k, v) - p, 0) + language_id.PSEUDO) / (np.maximum(every - p, 0) + 10 * language_id.PSEUDO))
         best = int(np.argmax(fused))
         want.append((str(pid), host, declared, names[best], round(float(1 / np.exp(fused - fused[best]).sum()), 6)))
     assert got == sorted(want)
     assert language_id.identify(df, docs.where("false")).count() == 0
 
 
+# Clashing and dotted column names, repeated ids
+
+
+def test_columns_of_any_name_are_carried_along(spark):
+    docs = table(spark, ["alpha beta gamma " * 20, "one two three", None, ""])
+    odd = docs.withColumn("_source", F.lit("clash")).withColumn("_home", F.lit(7)).withColumn("_key", F.lit("k")).withColumn("a.b", F.lit(1))
+    names = odd.columns
+    cut = substring_dedup.remove_repeats(odd)
+    assert set(names) <= set(cut.columns) and cut.count() == 4 and {r["a.b"] for r in cut.collect()} == {1}
+    mixed = mixing.mix_sources(odd)
+    assert set(names) <= set(mixed.columns) and mixed.count() == 4 and {r["_source"] for r in mixed.collect()} == {"clash"}
+    x = np.random.default_rng(1).random((40, len(quality_classifier.FEATURES)))
+    scored = quality_classifier.score(odd, quality_classifier.fit(x, (x[:, 0] > 0.5).astype(float)))
+    assert set(names) <= set(scored.columns) and scored.count() == 4 and {r["_key"] for r in scored.collect()} == {"k"}
+
+
+def test_classifier_takes_one_row_of_each_id(spark):
+    docs = table(spark, [f"text {i} " * (i + 1) for i in range(30)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    many = docs
+    for _ in range(3):
+        many = many.unionByName(docs)
+    a, b = quality_classifier.learn(docs, labels), quality_classifier.learn(many.repartition(5), labels)
+    assert a.intercept == b.intercept and all(np.array_equal(x, y) for x, y in zip(a.tables, b.tables, strict=True))
+
+
+def test_homes_agree_and_spread(spark):
+    ids = [0, 1, -5, 8, 16, 24, 1 << 40, -(1 << 63), (1 << 63) - 1] + [64 * k for k in range(200)]
+    rows = spark.createDataFrame([(i,) for i in ids], "k long").select("k", substring_dedup.home_column("k", 8).alias("h")).collect()
+    assert [r.h for r in rows] == substring_dedup.home_of(np.array([r.k for r in rows]), 8).tolist()
+    assert len(set(substring_dedup.home_of(np.arange(0, 64 * 200, 64), 8).tolist())) == 8
+
+
 # 8 Language model
 
 
