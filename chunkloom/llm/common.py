@@ -198,14 +198,15 @@ def named(columns: list[str]) -> list[F.Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
 
-def keyed(docs: DataFrame, key: str) -> DataFrame:
+def keyed(docs: DataFrame, key: str, nulls_first: bool = True) -> DataFrame:
     """``docs`` with a long key of each row: doc_id where each row has its own, else numbers in the order of the rows.
 
-    Rows order by doc_id (null first), a hash of the text, then the text.
+    Rows order by doc_id (null first, or last), a hash of the text, then the text.
     """
     if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         return docs.withColumn(key, F.col("doc_id").cast("long"))
-    ordered = docs.orderBy(F.col("doc_id").cast("long").asc_nulls_first(), F.xxhash64("text"), "text")
+    by_id = F.col("doc_id").cast("long")
+    ordered = docs.orderBy(by_id.asc_nulls_first() if nulls_first else by_id.asc_nulls_last(), F.xxhash64("text"), "text")
     return staged(ordered.withColumn(key, F.monotonically_increasing_id()), "keyed")
 
 

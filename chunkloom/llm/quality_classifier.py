@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chunkloom.llm.common import blocks, crc_bucket, named, read
 from chunkloom.llm.text_stats import FEATURES, features
@@ -157,7 +158,7 @@ def score(docs: DataFrame, model: Additive) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.rows.columns, pa.array(model.score(features(b)))], names=[*plain, "quality_score"])
 
     rows = docs.select(*(c.alias(p) for c, p in zip(named(rest), plain, strict=True)))
-    return rows.mapInArrow(run, rows.schema.add("quality_score", "double")).toDF(*rest, "quality_score")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("quality_score", T.DoubleType())])).toDF(*rest, "quality_score")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

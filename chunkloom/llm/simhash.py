@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import partitions_of, read, staged
+from chunkloom.llm.common import keyed, partitions_of, read, staged
 from chunkloom.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -197,11 +197,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with only the document of the smallest id of each component; equal rows are one; rows without id stay."""
-    groups = near_duplicates(docs.where("doc_id is not null"), radius)
-    lead = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(lead.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "doc_id", "left_semi").dropDuplicates()
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """``docs`` with only the first row of each component, in the order of common.keyed() (rows without doc_id last)."""
+    rows = keyed(docs, "_key", nulls_first=False)
+    groups = near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text"), radius)
+    lead = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_key"))
+    return rows.join(lead, "_key", "left_semi").select(*docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
