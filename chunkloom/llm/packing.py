@@ -24,7 +24,8 @@ from chunkloom.llm.common import blocks, read, staged
 from chunkloom.llm.subwords import Subwords
 
 CAPACITY, CLASSES, SLACK, END = 2048, 64, 16, 1
-GROUP = 50_000
+#: Pieces of one group, without and with their ids.
+GROUP, ID_GROUP = 50_000, 5_000
 
 _PIECES = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())]
 _SQL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -99,9 +100,11 @@ def fill(size: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """``parts`` (staged pieces) with sequence_id and offset."""
+    """``parts`` (staged pieces, with or without their ids) with sequence_id and offset."""
     n = max(1, math.ceil(parts.count() / group))
-    schema = pa.schema([*_PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())])
+    columns = [*_PIECES, *([("ids", pa.binary())] if "ids" in parts.columns else [])]
+    schema = pa.schema([*columns, ("sequence_id", pa.int64()), ("offset", pa.int64())])
+    sql = _SQL + (", ids binary" if "ids" in parts.columns else "") + ", sequence_id long, offset long"
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "start", "length", "ids_crc32")])
@@ -113,19 +116,17 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
         offset = np.empty(len(size), np.int64)
         offset[order] = total - np.repeat(total[head], np.diff(np.append(head, len(size))))
         unique = bins * n + rows.column("bucket")[0].as_py()
-        return pa.Table.from_arrays([*(rows.column(c).cast(t) for c, t in _PIECES), pa.array(unique), pa.array(offset)], schema=schema)
+        return pa.Table.from_arrays([*(rows.column(c).cast(t) for c, t in columns), pa.array(unique), pa.array(offset)], schema=schema)
 
     bucket = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(n)).cast("int")
-    lean = parts.select(*(c for c, _ in _PIECES)).withColumn("bucket", bucket)
-    return lean.groupBy("bucket").applyInArrow(run, _SQL + ", sequence_id long, offset long")
+    lean = parts.select(*(c for c, _ in columns)).withColumn("bucket", bucket)
+    return lean.groupBy("bucket").applyInArrow(run, sql)
 
 
 def sequences(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, pad: int = 0) -> DataFrame:
     """sequence_id, ids (array of ``capacity`` ids; a sequence whose length is a power of two is not padded), doc_ids."""
     parts = staged(pieces(docs, tokenizer, capacity, with_ids=True), "pieces")
-    placed = pack(parts, capacity).select("doc_id", "start", "ids_crc32", "sequence_id", "offset").dropDuplicates(["doc_id", "start", "ids_crc32", "sequence_id", "offset"])
-    key = lambda t: [F.col(f"{t}.doc_id"), F.col(f"{t}.start"), F.col(f"{t}.ids_crc32")]
-    joined = parts.alias("p").dropDuplicates(["doc_id", "start", "ids_crc32"]).join(placed.alias("s"), [a.eqNullSafe(b) for a, b in zip(key("p"), key("s"), strict=True)]).select("p.doc_id", "p.ids", "s.sequence_id", "s.offset")
+    joined = pack(parts, capacity, ID_GROUP).select("doc_id", "ids", "sequence_id", "offset")
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("offset")
