@@ -20,6 +20,7 @@ rows of the input are kept as they are, repeats included; other columns are igno
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -95,44 +96,49 @@ def settings(bins: pd.DataFrame) -> list[list[int]]:
 
 
 def cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """stratum, part (the stratum or POOLED), good, setting (how many of SHARES hold) and each rule's certified edge (null: none)."""
+    """stratum, part (the stratum or POOLED), setting (how many of SHARES hold) and each rule's certified edge (null: none).
+
+    Settings are nested, so a good document counts by the number of settings that keep it; groups of rows never exceed
+    rules x bins.
+    """
     named = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"))
     marked = counts.where(~F.expr(BASE_FAILED)).join(named, "doc_id", "left")
     binned = marked.select("stratum", "q", F.array(*(bin_of(F.col(r)) for r in RULES)).alias("bins"))
-    good = staged(binned.where("q = 1").groupBy("stratum", "bins").agg(F.count("*").alias("n")), "good")
     each = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col("bins")[i].alias("bin")) for i, r in enumerate(RULES))))
-    tails = binned.where("q is null").select("stratum", each.alias("x")).groupBy("stratum", "x.rule", "x.bin").agg(F.count("*").alias("n"))
-    strata = counts.select("stratum").distinct()
-    enough = good.groupBy("stratum").agg(F.sum("n").alias("good"))
-    strata = strata.alias("s").join(enough.alias("g"), F.col("s.stratum").eqNullSafe(F.col("g.stratum")), "left").select("s.stratum", F.coalesce("good", F.lit(0)).cast("long").alias("good"))
-    parts = staged(strata, "strata")
+    tails = staged(binned.where("q is null").select("stratum", each.alias("x")).groupBy("stratum", "x.rule", "x.bin").agg(F.count("*").alias("n")), "tails")
+    good = binned.where("q = 1").select("stratum", "bins")
+    enough = good.groupBy("stratum").agg(F.count("*").alias("good"))
+    strata = counts.select("stratum").distinct().alias("s").join(enough.alias("g"), F.col("s.stratum").eqNullSafe(F.col("g.stratum")), "left")
+    parts = staged(strata.select("s.stratum", F.coalesce("good", F.lit(0)).cast("long").alias("good")), "strata")
     level = delta / (parts.count() + 1)
-    least = least_good(alpha, level)
-    own = F.col("good") >= least
+    own = F.col("good") >= least_good(alpha, level)
     parts = parts.select("stratum", F.struct(own.alias("own"), F.when(own, F.col("stratum")).alias("name")).alias("part"))
 
     def of_parts(rows: DataFrame, *names: str) -> DataFrame:
         return rows.alias("r").join(parts.alias("p"), F.col("r.stratum").eqNullSafe(F.col("p.stratum"))).select("p.part", *(f"r.{n}" for n in names))
 
-    empty = F.array().cast("array<int>")
-    both = of_parts(good, "bins", "n").groupBy("part", "bins").agg(F.sum("n").alias("n")).select("part", "bins", F.lit("").alias("rule"), F.lit(0).alias("bin"), "n")
-    both = both.unionByName(of_parts(tails, "rule", "bin", "n").groupBy("part", "rule", "bin").agg(F.sum("n").alias("n")).select("part", empty.alias("bins"), "rule", "bin", "n"))
+    def same(a: str, b: str) -> Column:
+        return (F.col(f"{a}.part.own") == F.col(f"{b}.part.own")) & F.col(f"{a}.part.name").eqNullSafe(F.col(f"{b}.part.name"))
+
+    def edges_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = pdf["part"].iloc[0]
+        return pd.DataFrame([{"own": bool(part["own"]), "name": part["name"], "edges": settings(pdf)}], columns=["own", "name", "edges"])
 
     def certify(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, tail = pdf[pdf["rule"] == ""], pdf[pdf["rule"] != ""]
-        row = {"own": bool(pdf["part"].iloc[0]["own"]), "name": pdf["part"].iloc[0]["name"], "setting": 0, "edges": None}
-        if len(held) and len(tail):
-            found = settings(tail)
-            bins, n = np.stack(held["bins"].to_numpy()), held["n"].to_numpy()
-            rejected = np.array([n[(bins > np.array(edge)).any(1)].sum() for edge in found])
-            row["setting"] = strictest(rejected, int(n.sum()), alpha, level)
-            row["edges"] = found[row["setting"] - 1] if row["setting"] else None
-        return pd.DataFrame([row], columns=["own", "name", "setting", "edges"])
-
-    made = both.groupBy("part").applyInPandas(certify, "own boolean, name string, setting int, edges array<int>")
-    made = made.select(F.struct("own", "name").alias("part"), "setting", "edges")
-    joined = parts.alias("p").join(made.alias("m"), (F.col("p.part.own") == F.col("m.part.own")) & F.col("p.part.name").eqNullSafe(F.col("m.part.name")), "left")
-    return joined.select("p.stratum", F.when(F.col("p.part.own"), F.col("p.stratum")).otherwise(POOLED).alias("part"), F.coalesce("setting", F.lit(0)).alias("setting"), *(F.col("edges")[i].alias(f"max_{r}") for i, r in enumerate(RULES)))
+        part = pdf["part"].iloc[0]
+        by = np.bincount(pdf["level"].to_numpy(np.int64), weights=pdf["n"].to_numpy(), minlength=len(SHARES) + 1).astype(np.int64)
+        return pd.DataFrame([{"own": bool(part["own"]), "name": part["name"], "setting": strictest(np.cumsum(by)[: len(SHARES)], int(by.sum()), alpha, level)}], columns=["own", "name", "setting"])
+
+    cuts = of_parts(tails, "rule", "bin", "n").groupBy("part", "rule", "bin").agg(F.sum("n").alias("n")).groupBy("part").applyInPandas(edges_of, "own boolean, name string, edges array<array<int>>")
+    cuts = staged(cuts.select(F.struct("own", "name").alias("part"), "edges"), "settings")
+    passes = lambda e: reduce(Column.__and__, (F.col("g.bins")[i] <= e[i] for i in range(len(RULES))))
+    levels = of_parts(good, "bins").alias("g").join(cuts.alias("c"), same("g", "c")).select("g.part", F.size(F.filter("c.edges", passes)).alias("level"))
+    made = levels.groupBy("part", "level").agg(F.count("*").alias("n")).groupBy("part").applyInPandas(certify, "own boolean, name string, setting int")
+    made = made.select(F.struct("own", "name").alias("part"), "setting")
+    joined = parts.alias("p").join(made.alias("m"), same("p", "m"), "left").join(cuts.alias("c"), same("p", "c"), "left")
+    setting = F.coalesce("m.setting", F.lit(0))
+    edge = F.when(setting > 0, F.get("c.edges", setting - 1))
+    return joined.select("p.stratum", F.when(F.col("p.part.own"), F.col("p.stratum")).otherwise(POOLED).alias("part"), setting.alias("setting"), *(edge[i].alias(f"max_{r}") for i, r in enumerate(RULES)))
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
