@@ -67,13 +67,25 @@ def initial(seed: int = 7) -> dict[str, np.ndarray]:
     }
 
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums over the last axis."""
+    return x @ np.ones(x.shape[-1], x.dtype)
+
+
+def _exp(x: np.ndarray, top: float) -> None:
+    """exp in place, of at most ``top``."""
+    if x.size and x.max() > top:
+        np.minimum(x, top, out=x)
+    np.exp(x, out=x)
+
+
 def _attend(p: dict[str, np.ndarray], ids: np.ndarray, queries: int) -> tuple[np.ndarray, ...]:
     """States of the last ``queries`` slots of windows of class ids, and what the gradient needs.
 
     The weights ``a`` are not divided by their sums ``total``.
     """
-    x = p["E"][ids]
-    x[:, 1:] += p["E"][ids[:, :-1]] * p["F"]
+    x = p["E"].take(ids, axis=0)
+    x[:, 1:] += (p["E"] * p["F"]).take(ids[:, :-1], axis=0)
     q = x[:, SPAN - queries :] @ p["A"]
     a = q @ x.transpose(0, 2, 1)
     back = _BACK[SPAN - queries :]
@@ -81,9 +93,8 @@ def _attend(p: dict[str, np.ndarray], ids: np.ndarray, queries: int) -> tuple[np
     empty = np.flatnonzero((ids == PAD).any(1))
     if len(empty):
         a[empty] += np.where(ids[empty] == PAD, a.dtype.type(-1e9), a.dtype.type(0))[:, None]
-    np.minimum(a, 40, out=a)
-    np.exp(a, out=a)
-    total = a.sum(2, keepdims=True)
+    _exp(a, 40)
+    total = _sums(a)[:, :, None]
     total += a.dtype.type(1e-30)
     seen = a @ x
     seen /= total
@@ -94,8 +105,8 @@ def _outcome(p: dict[str, np.ndarray], v: Vocabulary, rows: np.ndarray, before:
     """Log probabilities of the classes ``want`` (in the order of their groups) after states and classes, and what the gradient needs."""
     group = want // MEMBERS
     z = rows @ p["G"]
-    z += v.group_after[before]
-    y = v.class_after[before, group].astype(z.dtype)
+    z += v.group_after.take(before, axis=0)
+    y = v.class_after.reshape(-1, MEMBERS).take(before * GROUPS + group, axis=0).astype(z.dtype, copy=False)
     ends = np.cumsum(np.bincount(group, minlength=GROUPS))
     spans = [(g, lo, hi) for g, (lo, hi) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if hi > lo]
     for g, lo, hi in spans:
@@ -103,9 +114,8 @@ def _outcome(p: dict[str, np.ndarray], v: Vocabulary, rows: np.ndarray, before:
     at = np.arange(len(want))
     logs = z[at, group] + y[at, want % MEMBERS]
     for s in (z, y):
-        np.minimum(s, 60, out=s)
-        np.exp(s, out=s)
-    zs, ys = z.sum(1), y.sum(1)
+        _exp(s, 60)
+    zs, ys = _sums(z), _sums(y)
     return logs - np.log(zs) - np.log(ys), z, y, zs, ys, spans
 
 
@@ -124,12 +134,11 @@ def step(p: dict[str, np.ndarray], v: Vocabulary, ids: np.ndarray, targets: np.n
     n = max(1, len(want))
     logs, z, y, zs, ys, spans = _outcome(p, v, rows, ids.reshape(-1)[keep], want)
     at = np.arange(len(want))
-    z /= zs[:, None]
-    y /= ys[:, None]
-    z[at, want // MEMBERS] -= 1
-    y[at, want % MEMBERS] -= 1
-    z /= n
-    y /= n
+    part = z.dtype.type(1 / n)
+    z *= (part / zs)[:, None]
+    y *= (part / ys)[:, None]
+    z[at, want // MEMBERS] -= part
+    y[at, want % MEMBERS] -= part
     d = {"G": rows.T @ z, "C": np.zeros_like(p["C"])}
     dr = z @ p["G"].T
     for g, lo, hi in spans:
@@ -141,7 +150,7 @@ def step(p: dict[str, np.ndarray], v: Vocabulary, ids: np.ndarray, targets: np.n
     ds = (dh @ p["V"].T).reshape(h.shape)
     ds /= total
     da = ds @ x.transpose(0, 2, 1)
-    da -= (ds * seen).sum(2, keepdims=True)
+    da -= _sums(ds * seen)[:, :, None]
     da *= a
     by = da.sum(0)
     d["R"] = np.bincount(_BACK[_BACK >= 0], by[_BACK >= 0], SPAN).astype(h.dtype)
@@ -151,9 +160,13 @@ def step(p: dict[str, np.ndarray], v: Vocabulary, ids: np.ndarray, targets: np.n
     dx += dh.reshape(h.shape)
     dx += (flat(dq) @ p["A"].T).reshape(h.shape)
     d["A"] = flat(x).T @ flat(dq)
-    d["F"] = (dx[:, 1:] * p["E"][ids[:, :-1]]).sum((0, 1))
+    d["F"] = _sums(flat(dx[:, 1:] * p["E"].take(ids[:, :-1], axis=0)).T)
     dx[:, :-1] += dx[:, 1:] * p["F"]
-    d["E"] = np.stack([np.bincount(ids.reshape(-1), flat(dx)[:, k], PAD + 1) for k in range(WIDTH)], axis=1).astype(h.dtype)
+    order = ids.reshape(-1).astype(np.uint16).argsort(kind="stable")
+    seen_ids = ids.reshape(-1)[order]
+    new = np.flatnonzero(np.diff(seen_ids, prepend=-1))
+    d["E"] = np.zeros_like(p["E"])
+    d["E"][seen_ids[new]] = np.add.reduceat(flat(dx).take(order, axis=0), new, axis=0)
     return -float(logs.sum()) / n, d
 
 

@@ -180,6 +180,17 @@ def per_doc(first: np.ndarray, values: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct values, a place of each, and which of them stands at each place."""
+    order = x.argsort()
+    ordered = x[order]
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(len(x), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], which
+
+
 def gather_spans(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Indices of all elements of the spans starts[i] : starts[i] + lengths[i], one span after another."""
     total = int(lengths.sum())

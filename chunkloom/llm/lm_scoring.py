@@ -23,6 +23,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.llm import attention as A
-from chunkloom.llm.common import Block, blocks, crc_bucket, gather_spans, lowered, mix, per_doc, read, span_hashes, staged, words
+from chunkloom.llm.common import Block, blocks, crc_bucket, distinct, gather_spans, lowered, mix, per_doc, read, span_hashes, staged, words
 from chunkloom.llm.subwords import Subwords
 
 END = 50256
@@ -42,13 +43,15 @@ UNIT = 400_000
 BLOCK_BYTES, BUCKET_BYTES = 1_000_000, 16_000_000
 #: For the blended score: share of the word counts in a word's probability, and what absolute discounting takes from each count.
 BLEND, DISCOUNT = 0.5, 0.75
+#: Subwords that a task holds before it sends them to their units.
+POOL = 2_000_000
 #: Weights that are averaged at once.
 FAN = 32
 #: The hash that stands for the end token among words.
 END_HASH = 0
 #: The columns of the texts themselves.
 _TEXT = ("train", "n_words", "word_of", "subwords", "sizes")
-_BLOCK_SQL = "block string, doc_ids array<long>, train binary, n_words binary, word_of binary, hashes binary, subwords binary, sizes binary"
+_BLOCK_SQL = "block string, doc_ids array<long>, keys binary, train binary, n_words binary, word_of binary, hashes binary, subwords binary, sizes binary"
 
 
 def in_training(ids: list[int | None], modulus: int = 10, held: int = 0) -> np.ndarray:
@@ -65,29 +68,43 @@ def encoded(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             w = words(low)
             hashes = span_hashes(low.data, w.starts, w.ends)
             np.maximum(hashes, np.uint64(END_HASH + 1), out=hashes)
-            keys, where, word_of = np.unique(hashes, return_index=True, return_inverse=True)
+            keys, where, word_of = distinct(hashes)
             size = (w.ends - w.starts)[where]
             data = np.full(int(size.sum()) + len(size), 32, np.uint8)
             off = np.append(0, np.cumsum(size + 1))
             data[gather_spans(size, off[:-1] + 1)] = low.data[gather_spans(size, w.starts[where])]
             ids, first = coder.ids(Block(None, data, off)) if len(size) else (np.zeros(0, np.uint32), np.zeros(1, np.int64))
             ids_here = b.rows.column(0).to_pylist()
-            raw = [squeezed(x) for x in (in_training(ids_here), w.counts, word_of, ids, np.diff(first))]
-            raw.insert(3, keys.tobytes())
+            raw = [squeezed(x) for x in (row_keys(ids_here, hashes, w.counts), in_training(ids_here), w.counts, word_of, ids, np.diff(first))]
+            raw.insert(4, keys.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([ids_here], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in raw)], names=[x.split()[0] for x in _BLOCK_SQL.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _BLOCK_SQL)
 
 
+def row_keys(ids: list[int | None], hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A hash of each row's id and words; ``hashes`` are those of all words, ``counts`` how many of them a row has."""
+    first = np.append(0, np.cumsum(counts))
+    place = np.arange(len(hashes)) - np.repeat(first[:-1], counts)
+    sums = np.append(np.uint64(0), np.cumsum(mix(hashes + mix(place.astype(np.uint64))), dtype=np.uint64))
+    named = np.array([zlib.crc32(str(i).encode()) for i in ids], np.uint64) << np.uint64(32)
+    return mix(named + sums[first[1:]] - sums[first[:-1]])
+
+
+@lru_cache(maxsize=1)
+def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def squeezed(x: np.ndarray) -> bytes:
     """Numbers from 0 in the narrowest type that holds them, compressed; the first byte tells the type's width."""
     top = int(x.max(initial=0))
     kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(k).max)
-    return bytes([np.dtype(kind).itemsize]) + zstandard.ZstdCompressor(level=1).compress(x.astype(kind).tobytes())
+    return bytes([np.dtype(kind).itemsize]) + _codec()[0].compress(x.astype(kind, copy=False).tobytes())
 
 
-def unsqueezed(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), f"<u{raw[0]}").astype(np.int64)
+def unsqueezed(raw: bytes, kind: type = np.int64) -> np.ndarray:
+    return np.frombuffer(_codec()[1].decompress(raw[1:]), f"<u{raw[0]}").astype(kind, copy=False)
 
 
 class Coded:
@@ -96,6 +113,7 @@ class Coded:
     def __init__(self, row: dict) -> None:
         of = lambda name: unsqueezed(row[name]) if name in row else None
         self.block, self.doc_ids = row.get("block"), row.get("doc_ids")
+        self.keys = unsqueezed(row["keys"], np.uint64) if "keys" in row else None
         self.train = of("train").astype(bool)
         self.first = np.append(0, np.cumsum(of("n_words")))
         self.word_of, self.subwords, self.sizes = of("word_of"), of("subwords"), of("sizes")
@@ -154,20 +172,20 @@ def word_totals(coded: DataFrame, buckets: int) -> DataFrame:
             parts = np.split(np.arange(len(group)), np.flatnonzero(np.diff(group)) + 1)
             yield pa.RecordBatch.from_arrays([
                 pa.array([c.block] * len(parts)), pa.array([int(group[p[0]]) for p in parts], pa.int32()),
-                pa.array([hashes[p].tobytes() for p in parts], pa.binary()), pa.array([zlib.compress(counts[p].tobytes(), 1) for p in parts], pa.binary()),
+                pa.array([hashes[p].tobytes() for p in parts], pa.binary()), pa.array([squeezed(counts[p]) for p in parts], pa.binary()),
             ], names=["block", "bucket", "hashes", "counts"])
 
     def add(rows: pa.Table) -> pa.Table:
         hashes = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
-        counts = [np.frombuffer(zlib.decompress(x), np.uint32) for x in rows.column("counts").to_pylist()]
-        keys, which = np.unique(np.concatenate(hashes), return_inverse=True)
+        counts = [unsqueezed(x) for x in rows.column("counts").to_pylist()]
+        keys, _, which = distinct(np.concatenate(hashes))
         total = np.bincount(which, np.concatenate(counts), len(keys)).astype(np.int64)
-        back = np.split(total[which].astype(np.uint64), np.cumsum([len(h) for h in hashes])[:-1])
+        back = np.split(total[which], np.cumsum([len(h) for h in hashes])[:-1])
         n = len(hashes)
         bucket = rows.column("bucket").to_pylist()
         return pa.Table.from_arrays([
             pa.array([*rows.column("block").to_pylist(), None]), pa.array([*bucket, bucket[0]], pa.int32()),
-            pa.array([*(zlib.compress(x.tobytes(), 1) for x in back), None], pa.binary()), pa.array([0] * n + [int((total > 0).sum())]), pa.array([0] * n + [int(total.sum())]),
+            pa.array([*map(squeezed, back), None], pa.binary()), pa.array([0] * n + [int((total > 0).sum())]), pa.array([0] * n + [int(total.sum())]),
         ], schema=schema)
 
     sent = coded.select("block", "train", "n_words", "word_of", "hashes").mapInArrow(send, "block string, bucket int, hashes binary, counts binary")
@@ -180,34 +198,42 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def units(coded: DataFrame, vocabulary: A.Vocabulary, n: int, lo: int = 0, hi: int | None = None) -> DataFrame:
-    """unit, keys, sizes, classes: the class ids of the training documents, dealt to n units by a hash of id and text; those of lo to hi."""
+    """unit, keys, sizes, classes: the class ids of the training documents, dealt to n units by a hash of id and text; those of lo to hi.
+
+    Rows of a unit come together from several blocks, POOL subwords at most and a document.
+    """
     last = n if hi is None else hi
 
+    def parted(units: list[np.ndarray], keys: list[np.ndarray], sizes: list[np.ndarray], classes: list[np.ndarray]) -> pa.RecordBatch:
+        unit, key, size, of = map(np.concatenate, (units, keys, sizes, classes))
+        order = np.lexsort((key, unit))
+        same = np.diff(key[order], prepend=key[order[:1]] + np.uint64(1)) == 0
+        new = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+        key[order] += (np.arange(len(order)) - new).astype(np.uint64)  # equal rows part
+        first = np.cumsum(size) - size
+        cuts = np.flatnonzero(np.diff(unit[order])) + 1
+        parts = [(int(unit[mine[0]]), squeezed(key[mine]), squeezed(size[mine]), squeezed(of[gather_spans(size[mine], first[mine])])) for mine in np.split(order, cuts)]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*parts, strict=True), (pa.int64(), *(pa.binary(),) * 3), strict=True)], names=["unit", "keys", "sizes", "classes"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = vocabulary.of.astype(np.uint16)
+        pool, held = ([], [], [], []), 0
         for c in rows_of(batches):
-            docs = np.flatnonzero(c.train)
+            unit = (mix(c.keys) % np.uint64(n)).astype(np.int64)
+            docs = np.flatnonzero(c.train & (unit >= lo) & (unit < last))
             if len(docs) == 0:
                 continue
             ids, first = c.sequences(docs)
-            classes, size = vocabulary.of[ids], np.diff(first)
-            place = np.arange(len(ids)) - np.repeat(first[:-1], size)
-            named = np.array([zlib.crc32(str(c.doc_ids[d]).encode()) for d in docs], np.uint64) << np.uint64(32)
-            key = mix(named + np.add.reduceat(mix((place << 20 | classes).astype(np.uint64)), first[:-1]))
-            order = np.argsort(key, kind="stable")
-            new = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) > 0]))
-            key[order] += (np.arange(len(key)) - np.repeat(new, np.diff(np.append(new, len(key))))).astype(np.uint64)  # equal rows part
-            unit = (mix(key) % np.uint64(n)).astype(np.int64)
-            order = np.argsort(unit, kind="stable")
-            order = order[(unit[order] >= lo) & (unit[order] < last)]
-            if len(order) == 0:
-                continue
-            ends = np.flatnonzero(np.diff(unit[order], append=-1)) + 1
-            for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                mine = order[a:z]
-                raw = [squeezed(key[mine]), squeezed(size[mine]), squeezed(classes[gather_spans(size[mine], first[mine])])]
-                yield pa.RecordBatch.from_arrays([pa.array([int(unit[mine[0]])]), *(pa.array([x], pa.binary()) for x in raw)], names=["unit", "keys", "sizes", "classes"])
+            for kept, x in zip(pool, (unit[docs], c.keys[docs], np.diff(first), of[ids]), strict=True):
+                kept.append(x)
+            held += len(ids)
+            if held >= POOL:
+                yield parted(*pool)
+                pool, held = ([], [], [], []), 0
+        if held:
+            yield parted(*pool)
 
-    return coded.select("doc_ids", *_TEXT).mapInArrow(run, "unit long, keys binary, sizes binary, classes binary")
+    return coded.select("keys", *_TEXT).mapInArrow(run, "unit long, keys binary, sizes binary, classes binary")
 
 
 def pair_counts(coded: DataFrame, vocabulary: A.Vocabulary) -> np.ndarray:
@@ -235,20 +261,21 @@ def pair_counts(coded: DataFrame, vocabulary: A.Vocabulary) -> np.ndarray:
 
 def tiles(rows: pa.Table, start: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Batches of the windows that tile a unit's documents, in an order drawn by their keys: input classes and targets."""
-    parts = [[unsqueezed(x) for x in rows.column(c).to_pylist()] for c in ("keys", "sizes", "classes")]
+    kinds = {"keys": np.uint64, "sizes": np.int64, "classes": np.uint16}
+    parts = [[unsqueezed(x, kind) for x in rows.column(c).to_pylist()] for c, kind in kinds.items()]
     keys, sizes, classes = (np.concatenate(x) for x in parts)
     first = np.append(0, np.cumsum(sizes))
     n = -(-sizes // A.SPAN)
     doc = np.repeat(np.arange(len(sizes)), n)
     which = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    order = np.lexsort((which, mix(mix(keys.astype(np.uint64))[doc] + which.astype(np.uint64))))
+    order = np.lexsort((which, mix(mix(keys)[doc] + which.astype(np.uint64))))
     for at in range(0, len(order), BATCH):
         mine = order[at : at + BATCH]
         begin, end = first[doc[mine]][:, None], first[doc[mine] + 1][:, None]
         place = begin + A.SPAN * which[mine][:, None] + np.arange(A.SPAN)
         wants = np.where(place < end, classes[np.minimum(place, len(classes) - 1)], A.PAD)
         before = np.where(place == begin, start, classes[np.clip(place - 1, 0, len(classes) - 1)])
-        yield np.where(place < end, before, A.PAD), wants
+        yield np.where(place < end, before, A.PAD).astype(np.int64), wants.astype(np.int64)
 
 
 def flat(p: dict[str, np.ndarray]) -> bytes:
@@ -303,9 +330,9 @@ def blended(spelled: np.ndarray, count: np.ndarray, n: int, v: int) -> np.ndarra
     """Natural log of a word's probability: discounted counts for one part, and for the rest (with what the discount freed) its subwords."""
     if n == 0:
         return spelled
-    with np.errstate(divide="ignore"):
-        counted = np.log(BLEND * np.maximum(count - DISCOUNT, 0) / n)
-    return np.logaddexp(counted, np.log(1 - BLEND + BLEND * min(1.0, DISCOUNT * v / n)) + spelled)
+    rest = np.log(1 - BLEND + BLEND * min(1.0, DISCOUNT * v / n)) + spelled
+    counted = BLEND * np.maximum(count - DISCOUNT, 0) / n
+    return np.where(counted > 0, np.log(np.where(counted > 0, counted + np.exp(rest), 1)), rest)
 
 
 def score(coded: DataFrame, totals: DataFrame, vocabulary: A.Vocabulary, p: dict[str, np.ndarray], n: int, v: int, buckets: int) -> DataFrame:
@@ -314,7 +341,7 @@ def score(coded: DataFrame, totals: DataFrame, vocabulary: A.Vocabulary, p: dict
 
     def run(mine: pa.Table, back: pa.Table) -> pa.Table:
         made = []
-        known = {b: np.frombuffer(zlib.decompress(t), np.uint64).astype(np.int64) for b, t in zip(back.column("bucket").to_pylist(), back.column("totals").to_pylist(), strict=True)}
+        known = {b: unsqueezed(t) for b, t in zip(back.column("bucket").to_pylist(), back.column("totals").to_pylist(), strict=True)}
         for c in rows_of(iter(mine.to_batches())):
             both = np.concatenate([known[b] for b in sorted(known)])  # buckets follow the hashes, and the end's is the least
             ends, count = both[0], both[1:]

@@ -13,7 +13,7 @@ from itertools import chain
 
 import numpy as np
 
-from chunkloom.llm.common import Block, gather_spans, span_hashes
+from chunkloom.llm.common import Block, distinct, gather_spans, span_hashes
 
 DEFAULT = "byte_bpe_50k.json"
 CACHE = 200_000
@@ -140,7 +140,7 @@ class Subwords:
         off = np.searchsorted(byte_starts, block.off) if len(byte_starts) == len(points) else _offsets(block)
         starts = cuts(points, off)
         ends = np.append(starts[1:], len(points))
-        keys, where, which = np.unique(span_hashes(points, starts, ends), return_index=True, return_inverse=True)
+        keys, where, which = distinct(span_hashes(points, starts, ends))
         if len(self.cache) > CACHE:
             self.cache.clear()
         names, cache = keys.tolist(), self.cache
