@@ -1,3 +1,4 @@
+import hashlib
 import json
 import struct
 
@@ -244,6 +245,24 @@ def test_packs_are_built_read_and_checked(spark):
     assert [(r.object, r.stored_size, r.encoding, r.error) for r in packs.entries(old).collect()] == [("a" * 64, 5, "raw", None)]
 
 
+def test_packs_send_bytes_once(spark):
+    """Objects meet by the digits of their pack: one exchange up to the packs, and none where a body is next to its index."""
+    texts = [bytes([k]) * 300 for k in range(40)] * 3
+    rows = spark.createDataFrame([(hashlib.sha256(t).hexdigest(), t) for t in texts], "object string, data binary").repartition(3)
+    once = packs.gathered(rows)
+    assert sorted(r.object for r in once.collect()) == sorted({r.object for r in rows.collect()})
+    built = packs.build(packs.gathered(rows.coalesce(2)), one_pack=False, pack_bytes=20)
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    made = built.select(F.from_json("index", PACK_INDEX).alias("i"), "body").select("i.*", "body")
+    verdicts = packs.verify(made, hash="sha256")
+    assert verdicts._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = packs.verify_totals(verdicts).first()
+    assert got.ok and got.entries == 40
+    cut = made.withColumn("body", F.when(F.col("pack_file") >= "pack-8", F.expr("substring(body, 1, length(body) - 1)")))
+    assert {r.error for r in packs.verify(cut, hash="sha256").collect()} == {None, "missing pack", "entry outside of the pack"}  # of a pack cut short, the last entry
+
+
 def test_duplicate_representations_and_garbage(spark):
     arts, chunks, objects = ingest.raw(files(spark, {"a": block(65, 131072)}), 4096)
     reps = loose(objects).unionByName(loose(objects).withColumn("kind", F.lit("pack")).withColumn("stored_size", F.lit(20).cast("long")))
