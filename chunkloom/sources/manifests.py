@@ -12,18 +12,20 @@ from pyspark.sql import types as T
 from chunkloom.model import LINEAGE, MANIFEST, POINTER, lineage_edges
 from chunkloom.operators import lineage
 from chunkloom.operators.validate import manifest_violations
-from chunkloom.sources.files import write_files
+from chunkloom.sources.files import read_files, write_files
 
 _BAD = "_corrupt"
 
 
 def _json(spark: SparkSession, path: str, schema: T.StructType, pattern: str, mode: str) -> DataFrame:
-    """One record per file, with its path; in PERMISSIVE mode what cannot be parsed is in the column _BAD."""
+    """One record per file, with its path; in PERMISSIVE mode what cannot be parsed is in the column _BAD.
+
+    The files are listed and read once, by the executors; the records are written to the shared folder.
+    """
     if mode == "PERMISSIVE":
         schema = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
     record = F.from_json(F.col("content").cast("string"), schema, {"mode": mode, "columnNameOfCorruptRecord": _BAD})
-    return files.select("path", record.alias("r")).select("r.*", "path")
+    return lineage.cut(read_files(spark, path, pattern).select("path", record.alias("r"))).select("r.*", "path")
 
 
 def scan_tolerant(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

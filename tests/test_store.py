@@ -95,3 +95,22 @@ def test_objects_are_put_once_and_streams_resume(spark, tmp_path):
         stream = spark.readStream.schema("object string, data binary").parquet(source)
         sync_stream(stream, table, str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(table).count() == 3
+
+
+def test_scans_list_on_the_executors(spark, root, tmp_path):
+    """The driver holds no listing: no plan of a scan reads the manifests' folder by Spark's readers; hidden names stay out."""
+    arts, chunks, _ = ingest.raw(files(spark, {f"f{k}": bytes([k]) * (k + 1) for k in range(9)}), 4)
+    assert manifests.save(ingest.manifests(arts, chunks), root) == 9
+    folder = tmp_path / "store" / "manifests"
+    (folder / "deep").mkdir()
+    (folder / "deep" / "broken.JSON").write_text("{")
+    (folder / "_hidden").mkdir()
+    for name in ("_hidden/a.json", ".b.json", "c.txt"):
+        (folder / name).write_text("{")
+    sound, found = manifests.scan_tolerant(spark, root)
+    assert sound.count() == 9 and [(r.path, r.rule) for r in found.collect()] == [(f"file:{folder}/deep/broken.JSON", "json")]
+    assert not any("/manifests" in f for frame in (sound, found) for f in frame.inputFiles())
+    (folder / "deep" / "broken.JSON").unlink()
+    assert manifests.scan(spark, root).count() == 9
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        manifests.scan(spark, root + "-not-there").count()
