@@ -1,11 +1,15 @@
 """Near copies by the similarity of their word sets: Jaccard of five-word shingles, 0.8 or more.
 
-Texts with one set of shingles are one vertex, so copies cost nothing after their sketch. A vertex has 128 minima of
-hashed shingles, in 32 bands of four: two texts of similarity 0.8 miss each other in all bands with probability 5e-8,
-less if they are closer. Pairs that share a band become links only after the shingles of both texts were compared.
-Candidates come in two steps, so that a large group of copies is not compared pair by pair: all members of a band with
-its least vertex, and then those that are still in different components with each other. In both, pairs whose sketches
-agree in fewer than ``LEAST_EQUAL`` of 128 places (at similarity 0.8 less likely than 1e-9) are left out.
+Texts with one set of shingles are one vertex, so copies cost nothing after their sketch. Candidates are SimHash
+fingerprints that BK-trees find (see simhash), one tree per shard. A fingerprint of ``WORDS`` * 64 bits is taken over the
+set of shingles: two sets of similarity 0.8 differ in more than ``RADIUS`` of them with probability 1.1e-9 at most
+(calculated for all sizes up to 89; the worst are 4 and 5 shingles, large sets have 7e-15), and two unlike sets in as few
+with 4e-7. Shards follow 128 minima of hashed shingles, in 32 bands of four, instead of blocks of the fingerprint's
+bits, of which so wide a radius leaves too few: two texts of similarity 0.8 miss each other in all bands with probability
+5e-8, less if they are closer. What a tree finds becomes a link only after the shingles of both texts were compared.
+Shards are searched in two steps, so that a large group of copies is not compared pair by pair: all members of a band with
+its least vertex, and then those that are still in different components with each other. In both, what a tree found is
+left out if the minima agree in fewer than ``LEAST_EQUAL`` of 128 places (at similarity 0.8 less likely than 1e-9).
 
 Shingles travel as sorted 32-bit hashes. A vertex's are sent once to each tile that compares it: a star is cut into tiles
 of ``TILE`` members, and so is each component of the second step's pairs, where a tile has two parts of the component.
@@ -28,10 +32,12 @@ from pyspark.sql import functions as F
 
 from chunkloom.llm.common import Block, blocks, keyed, lowered, mix, span_hashes, staged, window_hashes, window_places, words
 from chunkloom.llm.components import components
+from chunkloom.llm.simhash import BKTree, set_fingerprints
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 4
 LEAST_EQUAL = 70
+WORDS, RADIUS = 4, 88
 TILE = 1000
 _MARKS = "key long, vertex long, bands array<long>, sketch binary, shingles binary"
 _RANDOM = np.random.default_rng(11).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
@@ -57,7 +63,7 @@ def shingle_sets(b: Block, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The vertex of each set (0 if it is empty), its bands and a byte of each of its minima."""
+    """The vertex of each set (0 if it is empty), its bands, and a byte of each of its minima with its fingerprint behind them."""
     some = np.flatnonzero(np.diff(first))
     vertex = np.zeros(len(first) - 1, np.uint64)
     least = np.zeros((len(first) - 1, BANDS * ROWS), np.uint64)
@@ -70,7 +76,8 @@ def sketches(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     bands = np.zeros((len(least), BANDS), np.uint64)
     for r in range(ROWS):
         bands = mix(bands + least[:, r::ROWS] + np.arange(BANDS, dtype=np.uint64))
-    return vertex, bands, (least & np.uint64(255)).astype(np.uint8)
+    marks = set_fingerprints(hashes, first, WORDS).view(np.uint8)
+    return vertex, bands, np.concatenate([(least & np.uint64(255)).astype(np.uint8), marks], axis=1)
 
 
 def marked(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -118,39 +125,63 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 10 * both >= part * (x + y - both)
 
 
-def _sketch(rows: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(rows), -1)
+def _sketch(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the minima, and fingerprints."""
+    whole = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(rows), BANDS * ROWS + 8 * WORDS)
+    return whole[:, : BANDS * ROWS], np.ascontiguousarray(whole[:, BANDS * ROWS :]).view(np.uint64)
+
+
+class Shard:
+    """The BK-tree of a shard's distinct fingerprints, and the members that have each."""
+
+    def __init__(self, sketch: np.ndarray, marks: np.ndarray) -> None:
+        self.sketch, self.marks = sketch, marks
+        values, which = np.unique(marks, axis=0, return_inverse=True)
+        self.tree, which = BKTree(values), which.reshape(-1)
+        self.members, self.size = np.argsort(which, kind="stable"), np.bincount(which, minlength=len(values))
+        self.first = np.cumsum(self.size) - self.size
+
+    def near(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of members (one of i, any) whose fingerprints are within the radius and whose minima agree enough."""
+        q, node, _ = self.tree.within(self.marks[i], RADIUS)
+        n = self.size[node]
+        x = i[np.repeat(q, n)]
+        y = self.members[np.arange(len(x)) + np.repeat(self.first[node] - (np.cumsum(n) - n), n)]
+        like = (self.sketch[x] == self.sketch[y]).sum(1) >= LEAST_EQUAL
+        return x[like], y[like]
 
 
 def star(rows: pa.Table) -> pa.Table:
     """(u, v): the members of a star's tile whose sets are like the lead's."""
     lead = rows.column("lead")[0].as_py()
-    vertex, sketch = rows.column("vertex").to_numpy(), _sketch(rows)
+    vertex, shard = rows.column("vertex").to_numpy(), Shard(*_sketch(rows))
     sets = [np.frombuffer(x, np.uint32) for x in rows.column("shingles").to_pylist()]
     at = int(np.flatnonzero(vertex == lead)[0])
-    near = np.flatnonzero(((sketch == sketch[at]).sum(1) >= LEAST_EQUAL) & (vertex != lead))
-    out = [vertex[i] for i in near.tolist() if alike(sets[at], sets[i])]
+    near = np.sort(shard.near(np.array([at]))[1])
+    out = [vertex[i] for i in near[vertex[near] != lead].tolist() if alike(sets[at], sets[i])]
     return pa.table({"u": pa.array([lead] * len(out), pa.int64()), "v": pa.array(out, pa.int64())})
 
 
 def across(rows: pa.Table) -> pa.Table:
-    """u, v, pairs: for the band's members in different components whose sketches agree enough, links that join them (pairs
+    """u, v, pairs: for the band's members in different components that its tree finds near each other, links that join them (pairs
     null), and the pairs themselves, packed, with the least vertex that they reach (as u). Each pair is given by the first
     band that has it."""
     band = rows.column("band")[0].as_py()
-    vertex, root, sketch = rows.column("vertex").to_numpy(), rows.column("root").to_numpy(), _sketch(rows)
+    vertex, root, (sketch, marks) = rows.column("vertex").to_numpy(), rows.column("root").to_numpy(), _sketch(rows)
     bands = (rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(vertex), BANDS) if len(vertex) else np.zeros((0, BANDS))).astype(np.int64)
     order = np.argsort(vertex)
-    vertex, root, sketch, bands = vertex[order], root[order], sketch[order], bands[order]
+    vertex, root, bands = vertex[order], root[order], bands[order]
+    shard = Shard(sketch[order], marks[order])
     column = int(np.flatnonzero((bands == band).all(0))[0])
     names, size = np.unique(root, return_counts=True)
     out = np.flatnonzero(root != names[np.argmax(size)])  # each pair has a member outside the largest
     groups, made = Groups(len(vertex)), []
-    step = max(1, 16_000_000 // max(1, sketch.size))
+    step = max(1, 250_000 // max(1, len(vertex)))  # queries at a time: so many visits, and pairs, at most
     for lo in range(0, len(out), step):
         i = out[lo : lo + step]
-        x, y = np.nonzero(((sketch[i][:, None] == sketch[None]).sum(2, dtype=np.int16) >= LEAST_EQUAL) & (root[i][:, None] != root[None]))
-        x = i[x]
+        x, y = shard.near(i)
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
         x, y = np.minimum(x, y), np.maximum(x, y)
         fresh = ~(bands[x, :column] == bands[y, :column]).any(1)
         made.append(np.unique(np.stack([x[fresh], y[fresh]], axis=1), axis=0))

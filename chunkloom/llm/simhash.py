@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import keyed, partitions_of, read, staged
+from chunkloom.llm.common import keyed, mix, partitions_of, read, staged
 from chunkloom.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -59,8 +59,14 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, seed: int = SEED) -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints: of one number each, or of a row of numbers each."""
+    bits = np.bitwise_count(a ^ b)
+    return bits.astype(np.int64) if bits.ndim == 1 else bits.sum(axis=1, dtype=np.int64)
+
+
 class BKTree:
-    """Values under a root, the first; a child hangs on the edge that is its Hamming distance to the parent.
+    """Values (numbers, or rows of numbers) under a root, the first; a child hangs on the edge that is its Hamming distance to the parent.
 
     ``child[node, distance]`` is the child on that edge, or -1. Inserting one value after another gives the same tree as
     here, where all values walk down together, level by level.
@@ -68,14 +74,24 @@ class BKTree:
 
     def __init__(self, values: np.ndarray) -> None:
         self.values = values
-        self.child = np.full((len(values), 65), -1, np.int32)
+        self.bits = 64 * (values.shape[1] if values.ndim == 2 else 1)
+        edges, below = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         at, rest = np.zeros(len(values), np.int64), np.arange(1, len(values))
         while len(rest):
-            edge = at[rest] * 65 + np.bitwise_count(values[rest] ^ values[at[rest]])
+            edge = at[rest] * (self.bits + 1) + distance(values[rest], values[at[rest]])
             keys, first, which = np.unique(edge, return_index=True, return_inverse=True)
-            self.child.reshape(-1)[keys] = rest[first]
+            edges.append(keys)
+            below.append(rest[first])
             at[rest] = rest[first][which]
             rest = rest[at[rest] != rest]
+        order = np.argsort(np.concatenate(edges))
+        self.edges, self.below = np.concatenate(edges)[order], np.concatenate(below)[order]
+
+    @property
+    def child(self) -> np.ndarray:
+        table = np.full((len(self.values), self.bits + 1), -1, np.int32)
+        table.reshape(-1)[self.edges] = self.below
+        return table
 
     def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Pairs of places (query, value) within the radius, and how many nodes were visited."""
@@ -83,13 +99,13 @@ class BKTree:
         found = []
         while len(q) and len(self.values):
             visited += len(q)
-            d = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int64)
+            d = distance(queries[q], self.values[node])
             near = d <= radius
             found.append(np.stack([q[near], node[near]]))
-            edges = d[:, None] + np.arange(-radius, radius + 1)
-            kids = np.where((edges >= 0) & (edges <= 64), self.child[node[:, None], np.clip(edges, 0, 64)], -1)
-            row, at = np.nonzero(kids >= 0)
-            q, node = q[row], kids[row, at].astype(np.int64)
+            lo = np.searchsorted(self.edges, node * (self.bits + 1) + np.maximum(d - radius, 0))
+            n = np.searchsorted(self.edges, node * (self.bits + 1) + np.minimum(d + radius, self.bits), "right") - lo  # edges in reach
+            q = np.repeat(q, n)
+            node = self.below[np.arange(len(q)) + np.repeat(lo - (np.cumsum(n) - n), n)]
         both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         return both[0], both[1], visited
 
@@ -127,6 +143,19 @@ def submasks(mask: int, parts: int) -> list[int]:
     return [mask | sum(1 << b for b in free[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def set_fingerprints(hashes: np.ndarray, first: np.ndarray, words: int) -> np.ndarray:
+    """The SimHash of each set of 64-bit hashes (those of set i from first[i] to first[i + 1]), 64 * words bits; an empty set's is zero."""
+    sizes = np.diff(first)
+    some = np.flatnonzero(sizes)
+    out = np.zeros((len(sizes), words), np.uint64)
+    for w in range(words if len(some) else 0):
+        h = mix(hashes + np.uint64(0x9E3779B97F4A7C15 * (w + 1) & ALL))
+        for bit in range(64):
+            ones = np.add.reduceat((h >> np.uint64(bit) & np.uint64(1)).astype(np.int32), first[some])
+            out[some, w] |= (2 * ones > sizes[some]).astype(np.uint64) << np.uint64(bit)
+    return out
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 

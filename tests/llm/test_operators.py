@@ -377,6 +377,35 @@ def test_one_of_each_group_stays(spark):
     assert sorted(str(r.doc_id) for r in simhash.keep_one(docs).collect()) == ["0", "2", "3"]
 
 
+def test_near_copies_come_from_trees_of_fingerprints(monkeypatch):
+    rng = random.Random(4)
+    texts = []
+    for n in (9, 30, 120, 400):
+        plain = [f"{n}w{rng.randrange(10**6)}" for _ in range(n)]
+        for _ in range(12):
+            plain = [w if rng.random() > 4 / n else f"new{rng.randrange(10**6)}" for w in plain]
+            texts += [" ".join(plain), " ".join(plain[1:])]
+    block = as_block(pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["key", "text"]))
+    hashes, first = near_copies.shingle_sets(block)
+    sets = [hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+    marks = simhash.set_fingerprints(hashes, first, near_copies.WORDS)
+    for s, m in zip(sets, marks.tolist(), strict=True):  # a bit is 1 in over half of the set
+        h = simhash.mix(s + np.uint64(0x9E3779B97F4A7C15))
+        assert m[0] == sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(s))
+    apart = np.array([[int(simhash.distance(a[None], b[None])[0]) for b in marks] for a in marks])
+    values = np.unique(marks, axis=0)
+    q, at, _ = simhash.BKTree(values).within(marks, near_copies.RADIUS)
+    assert {(i, tuple(v)) for i, v in zip(q.tolist(), values[at].tolist(), strict=True)} == {(i, tuple(marks[j].tolist())) for i, j in zip(*np.nonzero(apart <= near_copies.RADIUS), strict=True)}
+    like = {(i, j) for i in range(len(sets)) for j in range(len(sets)) if near_copies.alike(sets[i], sets[j])}
+    assert len(like) > 2 * len(sets) and max(apart[i, j] for i, j in like) <= near_copies.RADIUS < np.median(apart)
+    _, _, sketch = near_copies.sketches(hashes, first)
+    lead = max(range(len(sets)), key=lambda i: sum(a == i for a, _ in like))
+    rows = pa.table({"lead": [lead] * len(sets), "vertex": range(len(sets)), "sketch": [x.tobytes() for x in sketch], "shingles": [(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in sets]})
+    assert {(lead, v) for v in near_copies.star(rows).column("v").to_pylist()} == {(i, j) for i, j in like if i == lead != j}
+    monkeypatch.setattr(near_copies.BKTree, "within", lambda self, queries, radius: (np.zeros(0, int), np.zeros(0, int), 0))
+    assert len(near_copies.star(rows)) == 0  # no other way leads to a link
+
+
 def test_near_copies_are_those_of_brute_force(spark, small, monkeypatch):
     import corpus_pipeline as pipeline
 
