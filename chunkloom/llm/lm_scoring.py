@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.llm import attention as A
-from chunkloom.llm.common import Block, blocks, crc_bucket, distinct, gather_spans, lowered, mix, per_doc, read, span_hashes, staged, words
+from chunkloom.llm.common import Block, blocks, crc_bucket, distinct, gather_spans, lowered, mix, per_doc, read, release, span_hashes, staged, words
 from chunkloom.llm.subwords import Subwords
 
 END = 50256
@@ -382,6 +382,7 @@ def score_texts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     per_round = max(1, -(-int(counts.sum()) // (ROUNDS * UNIT)))
     vocabulary.learn(pair_counts(coded, vocabulary))
     p = train(coded, vocabulary, per_round)
+    release(docs.sparkSession)  # what was shuffled for counts and rounds, before blocks are shuffled to their totals
     return score(coded, totals.where("block is not null"), vocabulary, p, n, v, buckets).withColumn("train_tokens", F.lit(n).cast("long"))
 
 

@@ -636,6 +636,27 @@ def test_lm_does_not_depend_on_partitions(spark, small):
         assert eight[d] == pytest.approx(one[d], rel=1e-6)
 
 
+def test_scoring_begins_without_the_shuffle_files_of_training(spark, small, monkeypatch):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    docs = spark.createDataFrame([(d, t) for d, t, _ in small], "doc_id long, text string")
+    old, trained, left, train, score = files(), [], [], lm_scoring.train, lm_scoring.score
+
+    def training(*args):
+        out = train(*args)
+        trained.append(files() - old)
+        return out
+
+    def scoring(*args):
+        left.append(files() - old)
+        return score(*args)
+
+    monkeypatch.setattr(lm_scoring, "train", training)
+    monkeypatch.setattr(lm_scoring, "score", scoring)
+    assert lm_scoring.score_texts(docs).count() == len(small)
+    assert trained[0] and left == [set()]
+
+
 def test_training_windows_tile_every_document(spark, small):
     docs = [(d, t) for d, t, _ in small[:40]] + [(10**6, LONG), (10**6 + 1, ""), (10**6 + 3, "one"), (3, "a row twice"), (3, "a row twice")]
     vocabulary = A.Vocabulary.make(np.ones(50257, np.int64), np.zeros(50257, dtype=bool))
